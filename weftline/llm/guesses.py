@@ -32,7 +32,7 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\\;',./")
 PLACES = {c: (x + (0.0, 0.5, 0.75, 1.25)[y], y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 KEYS, NEIGHBOURS = len(PLACES), 4.6
-BRUTE, MOST_WALK = 10.0, 10**12
+BRUTE, LONGEST_WALK, ALL_COPIES = 10.0, 40, 64
 DATE = re.compile(r"(\d{4})([-/._]?)(\d{1,2})\2(\d{1,2})$|(\d{1,2})([-/._]?)(\d{1,2})\6(\d{4}|\d{2})$")
 
 
@@ -89,21 +89,23 @@ def spans_from(value: str, i: int, unit_cost) -> Iterator[tuple[int, float, str]
             if g is not None:
                 yield j, math.log10(g), "date"
     turns, way, j = 0, None, i
-    while j + 1 < n and beside(value[j], value[j + 1]):
+    while j + 1 < n and j - i < LONGEST_WALK and beside(value[j], value[j + 1]):
         p, q = (PLACES[value[k].lower().translate(SHIFTED)] for k in (j, j + 1))
         step = (math.copysign(1, q[0] - p[0]), q[1] - p[1])
         turns += step != way
         way = step
         j += 1
         if j - i >= 2:
-            yield j + 1, math.log10(walk_guesses(j - i + 1, turns)) if j - i < 64 else 250.0, "walk"
-    # Repeats of a unit of 1 to 8 characters; every number of copies may end the span.
+            yield j + 1, math.log10(walk_guesses(j - i + 1, turns)), "walk"
+    # Repeats of a unit of 1 to 8 characters; any number of copies may end the span, but
+    # beyond ALL_COPIES only the whole run or every ALL_COPIES-th of it.
     for unit in range(1, min(8, (n - i) // 2) + 1):
         j, base = i + unit, value[i : i + unit]
         while value.startswith(base, j):
             j += unit
-            if j - i > 2:
-                yield j, unit_cost(base) + math.log10((j - i) // unit), "repeat"
+            copies = (j - i) // unit
+            if j - i > 2 and (copies <= ALL_COPIES or copies % ALL_COPIES == 0 or not value.startswith(base, j)):
+                yield j, unit_cost(base) + math.log10(copies), "repeat"
 
 
 @lru_cache(1 << 14)
@@ -118,6 +120,13 @@ def cost(value: str) -> tuple[float, tuple[tuple[str, str], ...]]:
     best: list[dict[tuple[int, bool], tuple[float, tuple[int, int, bool] | None, str]]] = [{} for _ in range(n + 1)]
     best[0][0, False] = (0.0, None, "")
     for i in range(n):
+        for brute in (False, True):  # more spans must cost less, or they can't win
+            low = math.inf
+            for key in sorted(k for k in best[i] if k[1] == brute):
+                if best[i][key][0] < low:
+                    low = best[i][key][0]
+                else:
+                    del best[i][key]
         found = list(spans_from(value, i, unit_cost))
         for (l, brute), (sum_, *_rest) in list(best[i].items()):
             def put(j: int, key: tuple[int, bool], s: float, kind: str) -> None:
