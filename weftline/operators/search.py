@@ -93,13 +93,14 @@ def bm25(spark, chunks: DataFrame, query: str, key: str = "id", body: str = "tex
     for w in query.lower().split():
         asked[w] = asked.get(w, 0) + 1
     tokens = text.words(F.lower(F.col(body)))
-    counts = [F.size(F.filter(tokens, lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(asked)]
+    times = lambda w: F.size(F.filter(tokens, lambda t: t == w))
+    counts = [times(F.lit(w)).alias(f"tf{i}") for i, w in enumerate(asked)]
     rows = chunks.where(F.col(body).isNotNull()).select(key, F.size(tokens).alias("n"), *counts)
     stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
     score = F.lit(0.0)
-    for i, times in enumerate(asked.values()):
+    for i, weight in enumerate(asked.values()):
         idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean"))) * times
+        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean"))) * weight
     return rows.crossJoin(F.broadcast(stats)).select(key, score.alias("bm25"))
 
 
