@@ -1,0 +1,52 @@
+import os
+import subprocess
+import sys
+
+import pytest
+
+import weftline
+from tests.test_crawl import client
+from weftline import agent, cli
+from weftline.errors import ConfigurationError, WeftlineError
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_names():
+    assert all(getattr(weftline, n) for n in weftline.__all__) and issubclass(ConfigurationError, WeftlineError)
+    with pytest.raises(AttributeError):
+        weftline.nothing
+
+
+def test_sql_functions(spark):
+    weftline.register(spark)
+    r = spark.sql("SELECT weft_extract('<title>T</title><main>b</main>', null).title, weft_url('HTTP://E.com'), weft_strip_overlays(null)").first()
+    assert tuple(r) == ("T", "http://e.com/", None)
+    assert [tuple(r) for r in spark.sql("SELECT c.* FROM VALUES ('a b c') AS t(x), LATERAL weft_chunks(t.x, 2, 0) AS c").collect()] == [("a b", 0, 2), ("c", 1, 2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    at = str(tmp_path / "o")
+    assert cli.main(["seeds"]) == 0 and "examples" in capsys.readouterr().out
+    assert cli.main(["crawl", "--out", at]) == 2
+    assert cli.main(["crawl", "--base", "http://e.com", "--out", at, "--max-pages", "2"], client) == 0 and "2 pages" in capsys.readouterr().out
+    assert cli.main(["search", f"{at}/pages", "home3"]) == 0 and "http://e.com/" in capsys.readouterr().out
+    assert cli.main(["list", f"{at}/pages"]) == 0 and len(capsys.readouterr().out.splitlines()) == 2
+    assert cli.main(["chunk", f"{at}/pages", "--out", f"{at}/v"]) == 0 and spark.read.parquet(f"{at}/v").count() == 2
+
+
+def test_agent(spark, tmp_path):
+    own = {t.name: t.run for t in agent.tools(spark, str(tmp_path), client, lambda p: '{"name": "x"}')}
+    assert own["search_pages"](query="x").startswith("Failed")
+    assert own["crawl_site"](url="http://e.com").startswith("4 pages")
+    assert "http://e.com/a" in own["search_pages"](query="apple3") and own["read_page"](url="HTTP://E.com/a/").startswith("apple")
+    assert own["list_pages"]().startswith("4 pages") and own["extract_data"](fields="name").count("'x'") == 4
+
+
+def test_rest_works_without_the_llm_folders(tmp_path):
+    import shutil
+
+    shutil.copytree(f"{ROOT}/weftline", tmp_path / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'page_rows' in q and not any(n.startswith('op1') for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
