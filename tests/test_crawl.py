@@ -56,6 +56,22 @@ def test_dry_run_and_filters(spark, tmp_path):
     assert urls_of(some) == {"/", "/a"} and all(r["text"].startswith(f"# {r['title']}") for r in some.rows.collect())
 
 
+def test_images_files_and_screenshots(spark, tmp_path):
+    html = f"<main><p>{' '.join(f'w{i}' for i in range(30))}</p><img src=/i/big.png alt=Big><img src=/i/small.png alt=Small></main>"
+
+    def illustrated(url):
+        if url.endswith(".png"):
+            return Response(200, b"i" * (9000 if "big" in url else 9), {"content-type": "image/png"})
+        return Response(200, html.encode(), {"content-type": "text/html"}) if url == "http://e.com/" else Response(404)
+
+    got = c.crawl(spark, "http://e.com", str(tmp_path), illustrated, c.Options(keep_images=True, page_files=True, smart_sample=True), render=lambda url, shot: b"png")
+    row = got.rows.first()
+    assert len(row["images"]) == 1 and (tmp_path / "assets" / row["images"][0]).stat().st_size == 9000
+    assert f"![Big](assets/{row['images'][0]})" in row["text"] and "![Small](http://e.com/i/small.png)" in row["text"]
+    assert (tmp_path / "screenshots" / row["screenshot"]).exists() and row["pattern"] == "/" and row["is_sample"] is False
+    assert "> URL: http://e.com/" in (tmp_path / "files" / row["path"]).read_text()
+
+
 def test_invalid_options(spark, tmp_path):
     for base, o in (("ftp://x", c.Options()), ("http://x", c.Options(min_words=-1)), ("http://x", c.Options(batch=0)), ("http://x", c.Options(form="pdf"))):
         with pytest.raises(ConfigurationError):

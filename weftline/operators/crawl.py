@@ -6,6 +6,7 @@ shared folder before the next begins, so no lineage grows and executors may be l
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from weftline.errors import ConfigurationError
 from weftline.functions import text, urls
 from weftline.operators import frontier, pages
 from weftline.sources import files, robots
-from weftline.sources.fetch import Client, fetched, needs_browser
+from weftline.sources.fetch import Client, Shot, fetched, needs_browser, screenshots, stored_images
 from weftline.sources.tables import kept
 
 URLS = "url string"
@@ -43,7 +44,9 @@ class Options:
     sample_size: int = 5
     sample_threshold: int = 20
     title_at_top: bool = False
-    keep_images: bool = False
+    keep_images: bool = False  # fetch images to out/assets and refer to them there
+    min_image_bytes: int = 5000
+    page_files: bool = False  # a file for each page in out/files, a folder that all executors share
     use_sitemap: bool = True
     dry_run: bool = False
     resume: bool = False
@@ -96,11 +99,19 @@ def _text_of(client: Client):
     return get
 
 
-def crawl(spark: SparkSession, base: str, out: str, client: Client, options: Options | None = None, browser: Client | None = None) -> Result:
+def with_local_images(good: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pages with images, the sorted names of their stored images, to which the text refers."""
+    refs = good.select("url", F.explode(text.image_references(F.col("content"))).alias("r")).select("url", F.col("r.url").alias("image")).distinct()
+    own = refs.join(stored.select(F.col("url").alias("image"), "file"), "image")
+    maps = own.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("image", "file"))).alias("weft_files"), F.sort_array(F.collect_list("file")).alias("images"))
+    return good.join(maps, "url", "left").withColumn("content", text.rewrite_images(F.col("content"), F.col("weft_files"))).drop("weft_files")
+
+
+def crawl(spark: SparkSession, base: str, out: str, client: Client, options: Options | None = None, browser: Client | None = None, render: Callable[[str, Shot], bytes] | None = None) -> Result:
     """Crawls a site into out/pages (JSON lines). robots.txt is honoured; seeds come from the
     sitemaps it names, else the base address. Links are followed only from saved pages, in
     the order (band, place, url). With a browser client, sites that look like client-side
-    apps are fetched by it. A state folder is kept until the frontier is empty."""
+    apps are fetched by it; with a renderer saved pages have a screenshot. A state folder is kept until the frontier is empty."""
     o = (options or Options()).checked(base)
     rules = robots_of(client, base)
     if browser is not None and needs_browser(client, base, lambda html: spark.range(1).select(text.is_spa(F.lit(html))).first()[0]):
@@ -137,6 +148,7 @@ def crawl(spark: SparkSession, base: str, out: str, client: Client, options: Opt
     if o.dry_run:
         return Result(0, spark.createDataFrame([], files.PAGE), queue, out)
     known = files.read_hashes(spark, o.cross_run_hashes) if o.cross_run_hashes else None
+    day, extension = F.to_timestamp(F.lit(o.crawled_at)), "md" if o.form == "markdown" else "txt"
     fresh, rounds = not o.resume or old is None, 0
     while not o.max_pages or saved < o.max_pages:
         now = kept(spark, frontier.batch(queue, o.batch, saved, o.max_pages), "batch")
@@ -147,14 +159,21 @@ def crawl(spark: SparkSession, base: str, out: str, client: Client, options: Opt
         html = web.where(pages.is_html(F.col("ok"), F.col("content_type")))
         x = html.select("url", pages.extract(F.col("html"), F.col("url"), o.form, o.keep_images, o.backend).alias("x"))
         good = kept(spark, x.select("url", "x.title", "x.content", "x.links").where(pages.enough_words(F.col("content"), o.min_words)), "extracted")
+        if o.keep_images:
+            good = kept(spark, with_local_images(good, kept(spark, stored_images(good, client, f"{out}/assets", o.min_image_bytes), "images")), "illustrated")
         new = pages.keep_first(pages.new_content(good, hashes), order="url")
         if known is not None:
             new = pages.new_content(new, known)
         new = kept(spark, new, "saved")
+        full = new
         if clusters is not None:
-            rows = pages.page_rows(pages.with_cluster(new, clusters.withColumn("pattern_cluster_size", F.col("pattern_cluster_size").cast("int"))), F.to_timestamp(F.lit(o.crawled_at)), "md" if o.form == "markdown" else "txt", title_at_top=o.title_at_top)
-        else:
-            rows = pages.page_rows(new, F.to_timestamp(F.lit(o.crawled_at)), "md" if o.form == "markdown" else "txt", title_at_top=o.title_at_top)
+            full = pages.with_cluster(full, clusters.withColumn("pattern_cluster_size", F.col("pattern_cluster_size").cast("int")))
+        if render is not None:
+            full = full.join(kept(spark, screenshots(new, render, f"{out}/screenshots"), "shots"), "url", "left")
+        rows = pages.page_rows(full, day, extension, title_at_top=o.title_at_top)
+        if o.page_files:
+            body = text.rendered_page(F.col("title"), F.col("url"), F.col("content"), urls.citation(F.col("title"), F.col("url"), day), day, extension == "md")
+            files.write_files(new.select(urls.page_filename(F.col("url"), extension).alias("path"), body.alias("rendered")), f"{out}/files")
         files.write_pages(rows, rows_at, resume=not fresh)
         fresh = False
         saved += new.count()
