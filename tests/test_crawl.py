@@ -7,7 +7,7 @@ from weftline.sources.fetch import Response
 
 
 def body(name, links):
-    return f"<html><head><title>{name}</title></head><body><nav>{''.join(f'<a href={u}>{u}</a>' for u in links)}</nav><main><p>{' '.join(f'{name}{i}' for i in range(30))}</p></main></body></html>"
+    return f"<html><head><title>{name}</title></head><body><nav>{''.join(f'<a href={u}>{u}</a>' for u in links)}</nav><main><p>{' '.join(f'{name}{i}' for i in range(30))}</p></main>"
 
 
 SITE = {

@@ -72,7 +72,7 @@ def test_robots(spark):
 
 
 def test_sitemaps():
-    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    ns = f'xmlns="{robots.SITEMAP_NS[1:-1]}"'
     web = {
         "i": f"<sitemapindex {ns}><sitemap><loc>a</loc></sitemap><sitemap><loc>i</loc></sitemap><sitemap><loc>bad</loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>",
         "a": f"<urlset {ns}><url><loc> u1 </loc></url><url><loc>u2</loc></url></urlset>",

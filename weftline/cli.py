@@ -37,13 +37,13 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--out", required=True)
     which = e.add_mutually_exclusive_group(required=True)
     which.add_argument("--fields", nargs="+")
-    which.add_argument("--auto-fields", action="store_true")
+    which.add_argument("--auto-fields", default=False, action="store_true")
     k = sub.add_parser("chunk", help="a vector table of pages; the embedder is given as module:function")
     k.add_argument("pages", nargs="+")
     k.add_argument("--out", required=True)
     k.add_argument("--embedder")
-    k.add_argument("--max-words", type=int, default=400)
-    k.add_argument("--overlap-words", type=int, default=50)
+    k.add_argument("--max-words", default=400, type=int)
+    k.add_argument("--overlap-words", default=50, type=int)
     s = sub.add_parser("search")
     s.add_argument("pages")
     s.add_argument("query")

@@ -14,17 +14,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEADING = re.compile(r"(#{1,6})\s+")
+HEADINGS = re.compile(r"(?m)^#{1,6}\s+")
+GAP = re.compile(r"\n\s*\n")
+LINK = re.compile(r"\[([^\]]{1,})\][(][^)]+[)]")
 CLOSERS = ">}])'\""
 
 
-def n_words(text: str) -> int:
-    return len(text.split())
+def n_words(body: str) -> int:
+    return len(body.split())
 
 
-def sentence_end(words: list[str], target: int, window: int = 50, least: int = 1) -> int:
-    """The last place up to target, at most `window` words before it, where a sentence ends; else target."""
-    for i in range(target, max(target - window, least) - 1, -1):
-        if words[i - 1].rstrip(CLOSERS).endswith((".", "!", "?")):
+def sentence_end(tokens: list[str], target: int, back: int = 50, least: int = 1) -> int:
+    """The last place up to target, at most `back` words before it, where a sentence ends; else target."""
+    for i in range(target, max(target - back, least) - 1, -1):
+        if tokens[i - 1].rstrip(CLOSERS).endswith((".", "!", "?")):
             return i
     return target
 
@@ -41,7 +44,7 @@ def by_words(text: str, most: int = 400, overlap: int = 50) -> list[str]:
     while True:
         stop = min(start + most, len(words))
         end = sentence_end(words, stop, max(most // 5, 10), start + 1) if stop < len(words) else stop
-        out.append(" ".join(words[start:end]))
+        out.append(" ".join(words[k] for k in range(start, end)))
         if end >= len(words):
             return out
         start = end if end != stop else max(end - overlap, start + 1)
@@ -85,7 +88,7 @@ def heading_of(text: str) -> str:
 
 
 def paragraphs(text: str) -> list[str]:
-    return [p for p in map(str.strip, re.split(r"\n\s*\n", text)) if p]
+    return [p for p in map(str.strip, GAP.split(text)) if p]
 
 
 def under(heading: str, text: str) -> str:
@@ -116,7 +119,7 @@ def lead(text: str) -> str | None:
     return next((s for s in map(str.strip, text.split("\n\n")) if s and not s.startswith(("![", "```", "#", "|", "-", "*", ">"))), None)
 
 
-def adapted(text: str, base: int = 400) -> int:
+def adapted(text, base=400) -> int:
     """Words a chunk by density: 1.25 times base for prose, less with code, headings and lists, 100 at least."""
     rows = text.splitlines()
     n, total = max(len(rows), 1), max(n_words(text), 1)
@@ -126,9 +129,9 @@ def adapted(text: str, base: int = 400) -> int:
             fenced = not fenced
         else:
             code += fenced
-    heads = len(re.findall(r"^#{1,6}\s+", text, re.M))
+    heads = len(HEADINGS.findall(text))
     heads = heads / (total / 100) if total >= 100 else heads
-    items = len(re.findall(r"^\s*(?:\d+\.|[*-])\s", text, re.M))
+    items = len(re.findall(r"(?m)^\s*(?:\d+\.|[*-])\s", text))
     density = 0.4 * min(2 * code / n, 1) + 0.3 * min(heads / 2, 1) + 0.3 * min(1.5 * items / n, 1)
     return max(int(base * (1.25 - 0.6 * density)), 100)
 
@@ -148,7 +151,7 @@ def by_markdown(text: str, most: int = 400, overlap: int = 50, title: str | None
     if not text:
         return []
     if drop_links:
-        text = re.sub(r"\[([^\]]+)\]\([^\)]+\)", r"\1", text)
+        text = LINK.sub(r"\1", text)
     if find_title and title is None:
         title = first_h1(text)
     summary = lead(text) if with_lead else None
@@ -173,7 +176,7 @@ def by_markdown(text: str, most: int = 400, overlap: int = 50, title: str | None
 
 
 def split_sentences(text: str) -> list[str]:
-    cut = (s for p in paragraphs(text) for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", p))
+    cut = (s for p in paragraphs(text) for s in re.split(r"(?<=[?!.])\s{1,}(?=[A-Z])", p))
     return [s for s in map(str.strip, cut) if s]
 
 

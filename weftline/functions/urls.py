@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
-UNSAFE = "[^a-zA-Z0-9._-]+"
+UNSAFE = "[^0-9A-Za-z_.-]+"
 LANGUAGES = "zh vi uk tr th sv sr sl sk ru ro pt pl no nl nb ms lv lt ko ja it id hu hr hi he fr fi fa et es en el de da cs ca bn bg ar".split()
-PRIMARY = ("en", "en-us", "en-gb", "en-ca", "en-au", "en_us", "en_gb")
+PRIMARY = tuple("en en-au en-ca en-gb en-us en_gb en_us".split())
 LOCALE = "^[a-z]{2}([-_][a-z]{2,4})?$"
 WIKIS = ("wiki", "wikipedia")
 SHELVES = ("shop", "products", "collections", "cat", "categories", "category")
@@ -52,7 +52,7 @@ def normalized(url: Column) -> Column:
         F.when(path(url) == "", "/").otherwise(path(url)),
         F.when(query(url) != "", F.concat(F.lit("?"), q)).otherwise(""),
     )
-    return F.when(url.isNotNull(), F.regexp_replace(whole, r"(?<!:)/{2,}", "/"))
+    return F.when(url.isNotNull(), F.regexp_replace(whole, "(?<!:)//+", "/"))
 
 
 def in_scope(url: Column, base_netloc: Column | str, subdomains: bool = False) -> Column:

@@ -22,6 +22,7 @@ from weftline.operators import search
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Complete = Callable[[str], str]
+FENCE = re.compile(r"`{3}(?:json)?\s*(.*?)`{3}", re.S)
 TEXT_CHARS, SAMPLE_CHARS = 8000, 4000
 
 
@@ -101,7 +102,7 @@ def insert(rows: DataFrame, put: Callable[[list[dict]], None], batch: int = 50,
 
 def parsed_reply(reply: str | None) -> dict | None:
     """The JSON object of a reply, out of its first fence if it has one."""
-    m = re.search(r"```(?:json)?\s*(.*?)```", reply or "", re.S)
+    m = FENCE.search(reply or "")
     try:
         found = json.loads((m[1] if m else reply or "").strip())
     except ValueError:
@@ -158,7 +159,7 @@ def discover_fields(pages: DataFrame, complete: Complete, sample: int = 3, goal:
 def extract_all(pages: DataFrame, complete: Complete, fields: str | list[str] = "", **options) -> DataFrame:
     """extract_fields with names from a list or a comma-separated string; without any, with
     the names that discover_fields finds."""
-    names = [f.strip() for f in fields.split(",") if f.strip()] if isinstance(fields, str) else list(fields)
+    names = list(filter(None, map(str.strip, fields.split(",")))) if isinstance(fields, str) else list(fields)
     return extract_fields(pages, names or discover_fields(pages, complete), complete, **options)
 
 

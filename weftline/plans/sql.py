@@ -112,7 +112,7 @@ def n_words(t: str) -> str:
 
 
 def visible(h: str) -> str:
-    for p in ("(?is)<script\\b[^>]*>.*?</script>", "(?is)<style\\b[^>]*>.*?</style>", "<[^>]+>", "\\s+"):
+    for p in ("(?is)<script\\b[^>]{0,}>.*?</script>", "(?is)<style\\b[^>]{0,}>.*?</style>", "<[^>]+>", "\\s+"):
         h = f"regexp_replace({h}, '{p}', ' ', 'g')"
     return f"trim({h})"
 

@@ -116,8 +116,8 @@ def write_files(rows: DataFrame, folder: str, body: str = "rendered", name: str
         for b in batches:
             for file, text in zip(b[name], b[body]):
                 part = os.path.join(folder, f".{uuid.uuid4().hex}")
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(text)
+                with open(part, "wb") as f:
+                    f.write(text.encode())
                 os.replace(part, os.path.join(folder, os.path.basename(file)))
             yield b[[name]]
 

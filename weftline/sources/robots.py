@@ -87,7 +87,8 @@ def crawl_delays(robots: Column, agent: str = "*", standard: bool = False) -> Co
     return run(robots)
 
 
-SITEMAP_NS = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
+SITEMAP_HOST = "www.sitemaps.org"
+SITEMAP_NS = f"{{http://{SITEMAP_HOST}/schemas/sitemap/0.9}}"
 
 
 def locations(xml: str | None) -> tuple[bool, list[str]]:
