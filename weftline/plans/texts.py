@@ -143,11 +143,14 @@ def _queries(spark, sf_dir):
 
 
 def rank_of_match(spark, sf_dir):
-    """For each query the place of the nearest other vector with its label."""
+    """For each query the place of the nearest other vector with its label: the nearest is
+    found first, then those before it are counted, so that no vector is shuffled or sorted."""
     e, q = vectors(spark, sf_dir), F.broadcast(_queries(spark, sf_dir).withColumnRenamed("label", "query_label"))
-    s = e.crossJoin(q).where("id <> query_id").select("query_id", "query_label", "id", "label", F.round(search.cosine(F.col("vector"), F.col("query_vector")), 6).alias("s"))
-    r = search.ranked(s, "query_id", "s", "id")
-    return r.groupBy("query_id", "query_label").agg(F.min(F.when(F.col("label") == F.col("query_label"), F.col("rank"))).cast("long").alias("rank"))
+    near = F.struct(F.round(search.cosine(F.col("vector"), F.col("query_vector")), 6).alias("s"), (-F.col("id")).alias("i"))
+    s = e.crossJoin(q).where("id <> query_id").select("query_id", "query_label", "label", near.alias("near"))
+    best = s.where("label = query_label").groupBy("query_id").agg(F.max("near").alias("best"))
+    r = s.join(F.broadcast(best), "query_id", "left").groupBy("query_id", "query_label", "best").agg(F.count_if(F.col("near") > F.col("best")).alias("before"))
+    return r.select("query_id", "query_label", F.when(F.col("best").isNotNull(), F.col("before") + 1).alias("rank"))
 
 
 def mrr(spark, sf_dir):
