@@ -21,6 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.plumbing import small_batches
 from weftline.llm.textarrays import BYTE_CODES, U64, mix, pieces, prefix_sums, ranges, span_hash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -299,6 +300,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, text_column: str = "text",
             cells = pa.ListArray.from_arrays(pa.array(at, pa.int32(), mask=np.append(null, False)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cells, pa.array(np.diff(at).astype(np.int32), mask=null), pa.array(good, mask=null)], names)
 
+    small_batches(docs.sparkSession)
     source = docs.select(*[docs[c] for c in keep], docs[text_column].cast("string").alias("weft_text"))
     fields = [*source.schema.fields[:-1]]
     names = [*[f.name for f in fields], "tokens", "n_tokens", "round_trip"]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.plumbing import small_batches
 from weftline.llm.textarrays import pieces
 
 WIDTH, HALF, DIMS = 6, 256, 8
@@ -186,6 +187,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model keeps, all columns passed through whatever they are
     called; one pass without a shuffle. Rows with a null text are rejected."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def keep(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

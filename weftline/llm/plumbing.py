@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,22 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import kept, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
 
+__all__ = ["by_key", "columns_of", "connected_components", "kept", "numbers", "shards", "shared_dir", "small_batches"]
 
-def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage is cut, it outlives
-    any executor, and the planner knows its true size when it chooses a join."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, where the session has the default of ten times
+    as many: whole texts are long, and a batch is held on both sides of the worker's pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.plumbing import by_key, columns_of, kept, numbers
+from weftline.llm.plumbing import by_key, columns_of, kept, numbers, small_batches
 from weftline.llm.textarrays import BYTE_CODES, POWERS, U64, mix, pieces, prefix_sums, span_hash
 
 WINDOW, LEAST, MOST, MASK = 32, 256, 8192, U64(1023 << 54)
@@ -119,6 +119,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     null doc_id take no part and have no row in the result. Identical rows count once.
     Other columns of the table are not read. An empty table gives no rows.
     """
+    small_batches(spark)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = source.mapInArrow(chunk_rows, CHUNKS)
     checked = chunks.repartition("h").sortWithinPartitions("h").mapInArrow(verified_rows, "doc_id long, row long, seq int, c_doc long, c_row long, c_seq int")

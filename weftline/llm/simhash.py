@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.plumbing import by_key, connected_components, kept, numbers, shards
+from weftline.llm.plumbing import by_key, connected_components, kept, numbers, shards, small_batches
 from weftline.llm.textarrays import U64, mix, pieces, span_hash, prefix_sums, BYTE_CODES, words
 
 BITS, STRIP, LONGEST = 256, 15, 12
@@ -75,7 +75,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in pieces(batches, "text"):
+    for batch, data, offsets in pieces(batches, "text", 1 << 18):
         fp, n = fingerprints(data, offsets)
         some = n > 0
         fp = fp.view(np.int64)
@@ -131,7 +131,7 @@ def close_in_list(ids: np.ndarray, fp: np.ndarray, radius: int, small: int, inne
     if n < 2:
         return
     if n <= small or depth == 2:
-        step = max(1, (1 << 22) // n)
+        step = max(1, (1 << 20) // n)
         a, b = [], []
         for lo in range(0, n, step):
             gap = sum(np.bitwise_count(fp[lo : lo + step, None, i] ^ fp[None, :, i]).astype(np.uint16) for i in range(4))
@@ -187,6 +187,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, radius: int = 52, recall:
     text is null or has no word take no part, nor do rows with a null doc_id. Rows that
     repeat a doc_id act as one document. An empty table gives no rows.
     """
+    small_batches(spark)
     repeats = repeats_for(radius / BITS, recall)
     prints = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fingerprint_rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")
     prints = kept(spark, prints, "fingerprints")
