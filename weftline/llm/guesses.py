@@ -156,9 +156,10 @@ def cost(value: str) -> tuple[float, tuple[tuple[str, str], ...]]:
 
 
 def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the cost and the segments of their value column; equal values come from a cache."""
     for batch in batches:
-        found = [cost(v) for v in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in found], pa.float64()), pa.array([" ".join(f"{k}:{s}" for k, s in seg) for _, seg in found], pa.string())], ["value", "log10_guesses", "segments"])
+        found = [cost(v) for v in batch.column("value").to_pylist()]
+        yield batch.append_column("log10_guesses", pa.array([g for g, _ in found], pa.float64())).append_column("segments", pa.array([" ".join(f"{k}:{s}" for k, s in seg) for _, seg in found], pa.string()))
 
 
 def credentials(docs: DataFrame) -> DataFrame:
@@ -179,9 +180,10 @@ def secrets(docs: DataFrame, least: float = 10.0) -> DataFrame:
     credential context; is_secret says that it takes 10**least guesses or more.
 
     A null or empty text has no values; a null doc_id stays null; repeated rows add to n;
-    other columns are not read; an empty table gives no rows. Values are scored whole,
-    each distinct one once.
+    other columns are not read; an empty table gives no rows. Values are scored whole, in
+    one pass over the documents.
     """
     found = credentials(docs)
-    scored = found.select("value").distinct().mapInArrow(costs, "value string, log10_guesses double, segments string")
-    return found.join(scored, "value").select("doc_id", "name", "value", "n", "log10_guesses", "segments", (F.col("log10_guesses") >= least).alias("is_secret"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+    scored = found.mapInArrow(costs, f"doc_id {kind}, name string, value string, n long, log10_guesses double, segments string")
+    return scored.withColumn("is_secret", F.col("log10_guesses") >= least)
