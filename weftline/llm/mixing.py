@@ -129,13 +129,13 @@ def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, float] | None
     total, share = sum(r["n"] for r in seen) * budget, sum(weights.values()) or 1
     quota = [int(total * weights[c] / share) for c in names]
     flows, _ = min_cost_flow([r["n"] for r in seen], [[index[c] for c in r["pattern"] if c in index] for r in seen], quota, epochs)
-    decided = []
+    decided, n_runs = [], 0
     for r, flow in zip(seen, flows):
         stretches, at = [], 0
         for c, n in sorted(flow.items()):
             stretches.append((at, at + n, names[c]))
             at += n
-        start = 0
+        start, runs = 0, []  # runs: (last bucket, its uses or None where they have to be found in order, tape before it)
         for bucket, n in sorted((b["bucket"], b["n"]) for b in r["buckets"]):
             own, torn = [], False
             for k in range(epochs):
@@ -144,10 +144,18 @@ def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, float] | None
                 whole = [s for s in inside if s[0] <= lo and s[1] >= hi]
                 torn |= bool(inside) and not whole
                 own += [(whole[0][2], k)] if whole else []
-            decided.append((r["pattern"], bucket, None if torn else own, start, r["n"], stretches if torn else None))
+            if runs and not torn and runs[-1][1] == own:
+                runs[-1] = bucket, own, start
+            else:
+                runs.append((bucket, None if torn else own, start))
             start += n
-    table = spark.createDataFrame(decided, "pattern array<string>, bucket int, own array<struct<component string, epoch int>>, start long, capacity long, stretches array<struct<lo long, hi long, component string>>")
-    joined = base.join(F.broadcast(table) if len(decided) <= 1 << 20 else table, ["pattern", "bucket"])
+        n_runs += len(runs)
+        decided.append((r["pattern"], r["n"], stretches, runs))
+    uses = "array<struct<component string, epoch int>>"
+    table = spark.createDataFrame(decided, f"pattern array<string>, capacity long, stretches array<struct<lo long, hi long, component string>>, runs array<struct<hi int, own {uses}, start long>>")
+    joined = base.join(F.broadcast(table) if n_runs <= 1 << 17 else table, "pattern")
+    run = F.get(F.filter("runs", lambda x: x["hi"] >= F.col("bucket")), F.lit(0))
+    joined = joined.withColumn("run", run).drop("runs").select("*", F.col("run.own").alias("own"), F.col("run.start").alias("start")).drop("run")
     easy = joined.where("own is not null").select("weft_row", "tokens", "own")
     order = Window.partitionBy("pattern", "bucket").orderBy("h", "weft_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hard = joined.where("own is null").withColumn("at", F.col("start") + F.sum("tokens").over(order) - F.col("tokens"))
