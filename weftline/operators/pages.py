@@ -50,6 +50,17 @@ def extract(html: Column, url: Column | None = None, form: str = "markdown", kee
     return run(html, F.lit(None).cast("string") if url is None else url)
 
 
+def main_text(html: Column, url: Column) -> Column:
+    """title and content of each page: the cleaned text of its main element or of all its
+    articles, else of the region that extraction takes. A null page gives null."""
+
+    @F.pandas_udf("struct<title string, content string>")
+    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if h is None else dom.main_text(h, u) for h, u in zip(pages, bases)], columns=["title", "content"])
+
+    return run(html, url)
+
+
 def best_of(df: DataFrame, candidates: list[str], into: str = "content") -> DataFrame:
     """The candidate column of highest extraction score; the first of equals."""
     ranked = F.sort_array(F.array(*(F.struct((-F.coalesce(text.extraction_score(F.col(c)), F.lit(-1.0))).alias("s"), F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate(candidates))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text, urls
 from weftline.operators import frontier, pages
 from weftline.plans import sql
+from weftline.sources.tables import kept
 
 DAY = "2026-01-15 12:30:00"
 SEED = "https://example.com/en/docs/guide/start.html"
@@ -184,13 +185,14 @@ def extraction_ensemble(spark, sf_dir):
 
 
 def articles(spark, sf_dir):
-    p = pages_of(spark, sf_dir)
-    return p.select("page_id", "url", pages.fast_title(F.col("html")).alias("title"), article(F.col("html")).alias("content"))
+    """Title and main text of each page by the DOM; the SQL takes the one article by pattern."""
+    x = pages_of(spark, sf_dir).select("page_id", "url", pages.main_text(F.col("html"), F.col("url")).alias("x"))
+    return x.select("page_id", "url", "x.title", "x.content")
 
 
 def page_rows(spark, sf_dir):
     """The flagship: pages to clean, deduplicated index rows."""
-    rows = articles(spark, sf_dir).withColumn("url", urls.normalized(F.col("url"))).where(pages.enough_words(F.col("content")))
+    rows = kept(spark, articles(spark, sf_dir).withColumn("url", urls.normalized(F.col("url"))).where(pages.enough_words(F.col("content"))), "articles")
     return pages.page_rows(pages.keep_first(rows), day())
 
 
@@ -201,12 +203,12 @@ def rendered_pages(spark, sf_dir):
 
 
 def dedup_exact(spark, sf_dir):
-    return pages.keep_first(articles(spark, sf_dir)).select("page_id", text.content_hash(F.col("content")).alias("hash"))
+    return pages.keep_first(kept(spark, articles(spark, sf_dir), "articles")).select("page_id", text.content_hash(F.col("content")).alias("hash"))
 
 
 def dedup_incremental(spark, sf_dir):
     """The first half of the ids is the run before: its hashes are the persisted set."""
-    a = articles(spark, sf_dir).crossJoin(F.broadcast(pages_of(spark, sf_dir).agg(F.avg("page_id").alias("mid"))))
+    a = kept(spark, articles(spark, sf_dir), "articles").crossJoin(F.broadcast(pages_of(spark, sf_dir).agg(F.avg("page_id").alias("mid"))))
     seen = a.where("page_id < mid").select(text.content_hash(F.col("content")).alias("hash")).distinct()
     return pages.keep_first(pages.new_content(a.where("page_id >= mid"), seen)).select("page_id")
 
