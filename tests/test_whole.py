@@ -44,3 +44,14 @@ def test_content_of_none_several_and_nested_articles(spark, tmp_path):
     words = {r["page_id"]: (r["words"], r["kept"]) for r in FOUND["word_counts"](spark, sf).collect()}
     assert words[3] == (90, True) and words[4] == (65, True) and words[0] == (30, True)
     assert FOUND["page_list"](spark, sf).where("words = 0").count() == 0
+
+
+def test_edges_of_all_kinds_of_href(spark, tmp_path):
+    body = """<a href='/single'>a</a><a href=/bare>b</a><a href = "/spaced">c</a><a href="/e?b=2&amp;a=1">d</a><a href="b.html">e</a><a href="../x">f</a><a href="?p=2">g</a><a class=k HREF="//o.com/y">h</a>"""
+    spark.createDataFrame([(1, "https://h.com/d/e/p", body), (2, "https://h.com/q", "<a href='/single'>a</a>"), (3, "https://h.com/n", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sf = str(tmp_path)
+    want = {"https://h.com" + p for p in ("/single", "/bare", "/spaced", "/e?a=1&b=2", "/d/e/b.html", "/d/x", "/d/e/p?p=2")} | {"https://o.com/y"}
+    assert {r["dst"] for r in FOUND["link_edges"](spark, sf).where("page_id = 1").collect()} == want
+    assert {r["dst"]: r["n_pages"] for r in FOUND["link_indegree"](spark, sf).collect()} == {d: 1 + d.endswith("/single") for d in want}
+    assert {r["url"] for r in FOUND["frontier_round"](spark, sf).collect()} == want - {"https://o.com/y"}
+    assert FOUND["link_scores"](spark, sf).count() == len(want)

@@ -61,6 +61,16 @@ def main_text(html: Column, url: Column) -> Column:
     return run(html, url)
 
 
+def links(html: Column, url: Column) -> Column:
+    """The links of extract() alone, without the work on the content. A null page gives null."""
+
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else dom.links(dom.parsed(h), u) for h, u in zip(pages, bases)], dtype=object)
+
+    return run(html, url)
+
+
 def best_of(df: DataFrame, candidates: list[str], into: str = "content") -> DataFrame:
     """The candidate column of highest extraction score; the first of equals."""
     ranked = F.sort_array(F.array(*(F.struct((-F.coalesce(text.extraction_score(F.col(c)), F.lit(-1.0))).alias("s"), F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate(candidates))))
@@ -112,17 +122,6 @@ def fast_title(html: Column) -> Column:
     return F.trim(found)
 
 
-def fast_links(html: Column) -> Column:
-    """Distinct href values of anchors by pattern."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1)), F.trim))
-
-
-def resolved(href: Column, base: Column) -> Column:
-    """Absolute, normalised address of an absolute, host-relative or root-relative href."""
-    origin = F.concat(urls.part(base, 1), F.lit("://"), urls.part(base, 2))
-    return urls.normalized(F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(urls.part(base, 1), F.lit(":"), href)).otherwise(F.concat(origin, href)))
-
-
 def is_html(ok: Column, content_type: Column) -> Column:
     return ok & F.contains(F.lower(content_type), F.lit("text/html"))
 

@@ -91,9 +91,9 @@ def smart_sample(spark, sf_dir):
 
 
 def edges_of(spark, sf_dir):
-    p = pages_of(spark, sf_dir)
-    hrefs = p.select("page_id", "url", F.explode(pages.fast_links(F.col("html"))).alias("href"))
-    return hrefs.select("page_id", urls.normalized(F.col("url")).alias("src"), pages.resolved(F.col("href"), F.col("url")).alias("dst")).distinct()
+    """Links by the DOM, resolved against the page's address; the SQL finds them by pattern."""
+    x = pages_of(spark, sf_dir).select("page_id", "url", pages.links(F.col("html"), F.col("url")).alias("links"))
+    return x.select("page_id", urls.normalized(F.col("url")).alias("src"), F.explode("links").alias("dst")).distinct()
 
 
 def link_edges(spark, sf_dir):
