@@ -60,3 +60,34 @@ def test_scan(spark):
     assert got[1, "password"]["n"] == 2 and not got[1, "password"]["is_secret"]
     assert got[1, "api_key"]["is_secret"] and got[1, "api_key"]["value"] == "k9$Vw2#pLzQ8rT5" and got[5, "client-secret"]["value"] == "p q r s t u v w"
     assert guesses.secrets(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "value"),
+    [
+        ('password          =        "x9Kq"', "password", "x9Kq"),
+        ("dbPassword=x9Kq", "dbpassword", "x9Kq"),
+        ("accessToken: x9Kq", "accesstoken", "x9Kq"),
+        ("mypassword=x9Kq", "mypassword", "x9Kq"),
+        ("PGPASSWORD=x9Kq", "pgpassword", "x9Kq"),
+        ("tokens: x9Kq", "tokens", "x9Kq"),
+        ("password2=x9Kq", "password2", "x9Kq"),
+        ("passwordOld=x9Kq", "passwordold", "x9Kq"),
+        (r'{\"password\": \"x 9\", \"b\": \"c\"}', "password", "x 9"),
+        ("Authorization: Bearer x9Kq.zz", "bearer", "x9Kq.zz"),
+        ("""curl -H 'Authorization: Bearer x9Kq'""", "bearer", "x9Kq"),
+        ("token: Bearer x9Kq", "token", "x9Kq"),
+        ("password: it's8!kQ", "password", "it's8!kQ"),
+        ("password = a,b;c9K", "password", "a,b;c9K"),
+        ("password: k9$Vw2#p!!)", "password", "k9$Vw2#p!!)"),
+        ("run --password=x9Kq", "password", "x9Kq"),
+    ],
+)
+def test_context(spark, text, name, value):
+    got = guesses.credentials(spark.createDataFrame([(1, "see " + text + " end")], "doc_id long, text string")).collect()
+    assert [(r["name"], r["value"]) for r in got] == [(name, value)]
+
+
+def test_no_context(spark):
+    rows = [(1, "tokenizer: x"), (2, "secretary = y"), (3, "the bearer of the letter: z"), (4, "token" * 20000 + "izer: x")]
+    assert guesses.credentials(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0

@@ -21,8 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?key|client[_-]?secret|credentials?|bearer"
-CONTEXT = rf"""(?i)(?<![a-z])((?:[a-z0-9]+[_-])*(?:{NAMES})(?:[_-][a-z0-9]+)*)["']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>,;]+))"""
-GATE = "(?i)(?:pass|pwd|secret|token|key|cred|bearer)[a-z0-9_-]*[\"']?\\s{0,4}[:=]"
+# The word that holds a name must end with it, or go on with s, digits, - or _ or a capital.
+WORD = rf"(?<![a-z0-9_-])[_-]*+(?=[a-z0-9_-]*?(?:{NAMES})s?[0-9]*(?:[_-]|(?-i:(?<=[a-z0-9])[A-Z])|(?![a-z0-9])))([a-z0-9][a-z0-9_-]*+)"
+VALUE = r"""(\\+"[^"\r\n]+?\\+"|\\+'[^'\r\n]+?\\+'|"[^"\r\n]+"|'[^'\r\n]+'|\S+)"""
+CONTEXT = rf"""(?i){WORD}(?:\\*["'])?\s*+(?::=|=>|[:=])\s*+(?:bearer\s++)?{VALUE}"""
+BEARER = r"""(?i)authorization(?:\\*["'])?\s*+[:=]\s*+(?:\\*["'])?(bearer)\s++([^\s"'\\]+)"""
+GATE = r"""(?i)(?:pass|pwd|secret|token|key|cred|bearer)[a-z0-9_-]*+(?:\\*["'])?\s*+[:=]|bearer\s"""
 # Common words in the order in which crackers try them.
 WORDS = "password admin welcome secret login master test hello monkey dragon letmein qwerty iloveyou sunshine princess football baseball shadow superman trustno access mustang michael jordan hunter ranger buster thomas robert soccer killer george andrew charlie summer winter spring autumn orange banana cheese coffee changeme default guest root user server database system public private example sample token key apikey money love angel flower purple silver golden diamond computer internet security company office project production staging development the and for you that with this have from they will what your when there their would about which time people year could them other than then look only come over think also back after work first well even want because these give most correct horse battery staple january february march april may june july august september october november december monday tuesday friday sunday london paris berlin".split()
 RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
@@ -164,14 +168,16 @@ def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def credentials(docs: DataFrame) -> DataFrame:
     """(doc_id, name, value, n) of the values in credential context, n being how often the
-    document assigns it. A value in quotes reaches to the closing quote, any other to white
-    space or one of "'<>,; without the full stops, brackets and # $ % & * ! that end it."""
+    document assigns it. A value in quotes, escaped ones too, reaches to the closing quote,
+    any other to white space. What follows Authorization: Bearer is a value, too."""
     text = F.col("text").cast("string")
     hits = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(GATE))
-    group = lambda k: F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(k))
-    rows = hits.select("doc_id", F.explode(F.arrays_zip(group(1).alias("name"), group(2).alias("a"), group(3).alias("b"), group(4).alias("c"))).alias("m"))
-    bare = F.regexp_replace("m.c", r"[.)\]}#$%&*!?]+$", "")
-    value = F.when(F.col("m.a") != "", F.col("m.a")).when(F.col("m.b") != "", F.col("m.b")).otherwise(bare)
+    group = lambda pattern, k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    pairs = [F.arrays_zip(group(p, 1).alias("name"), group(p, 2).alias("raw")) for p in (CONTEXT, BEARER)]
+    rows = hits.select("doc_id", F.explode(F.concat(*pairs)).alias("m"))
+    raw = F.col("m.raw")
+    escaped, quoted = r"""^\\+(["'])(.+?)\\+\1$""", r"""^(["'])(.+)\1$"""
+    value = F.when(raw.rlike(escaped), F.regexp_extract(raw, escaped, 2)).when(raw.rlike(quoted), F.regexp_extract(raw, quoted, 2)).otherwise(F.regexp_replace(raw, r"""^\\*["']+""", ""))
     return rows.select("doc_id", F.lower("m.name").alias("name"), value.alias("value")).where("value <> ''").groupBy("doc_id", "name", "value").agg(F.count("*").alias("n"))
 
 
