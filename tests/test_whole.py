@@ -1,10 +1,13 @@
 """Queries over pages that the test tables lack: none, several and nested articles."""
 
+import math
+import random
 import re
 
 import pytest
 
 import __spark_entry__ as entry
+from weftline.operators import search
 
 FOUND = entry.queries()
 
@@ -55,3 +58,20 @@ def test_edges_of_all_kinds_of_href(spark, tmp_path):
     assert {r["dst"]: r["n_pages"] for r in FOUND["link_indegree"](spark, sf).collect()} == {d: 1 + d.endswith("/single") for d in want}
     assert {r["url"] for r in FOUND["frontier_round"](spark, sf).collect()} == want - {"https://o.com/y"}
     assert FOUND["link_scores"](spark, sf).count() == len(want)
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_every_vector_is_a_query(spark, block):
+    rng = random.Random(1)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)], rng.choice([0, 1, 2])) for i in range(40)] + [(40, [0.1, 0.2, 0.3], 9), (41, [0.0, 0.0, 0.0], 1), (42, rng.choices((1.0, 2.0), k=3), None)]
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) if size else -2.0
+
+    want = {}
+    for i, v, label in rows:
+        order = sorted((-cosine(v, w), j, other) for j, w, other in rows if j != i)
+        want[i] = next((k for k, (_, _, other) in enumerate(order, 1) if label is not None and other == label), None)
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label long")
+    assert {r["query_id"]: r["rank"] for r in search.match_ranks(df, block).collect()} == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,62 @@ def first_containing(spans: DataFrame, chunks: DataFrame, span: str, chunk: str,
     return spans.join(chunks, inside, "left").groupBy(*keys).agg(F.min(chunks[index]).alias("first_index"))
 
 
+def match_ranks(df: DataFrame, block: int = 8192) -> DataFrame:
+    """(query_id, query_label, rank) of every vector of (id, vector, label) as a query: the place
+    of the nearest other vector with its label, by cosine to 6 places, then id; null without
+    one. Pairs of blocks of about that many vectors are multiplied as matrices twice: for the
+    nearest match, then to count what is nearer. A vector without length is behind all others."""
+    n = max(1, -(-df.count() // block))
+    own = df.select("id", "label", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    kind, cast = own.schema["id"].dataType.simpleString(), F.col("b").cast("long")
+
+    def matrix(vectors):
+        wide = max((len(v) for v in vectors if v is not None), default=1)
+        m = np.array([np.zeros(wide) if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), wide)
+        size = np.sqrt((m * m).sum(axis=1))
+        return m, size
+
+    def near(q, c):
+        """(rows of q, similarities to c, the query itself masked) in strips."""
+        (a, sa), (b, sb) = matrix(list(q["vector"])), matrix(list(c["vector"]))
+        ids = c["id"].to_numpy()
+        for lo in range(0, len(q), 512):
+            at = slice(lo, lo + 512)
+            size = np.outer(sa[at], sb)
+            s = np.where(size > 0, np.round(a[at] @ b.T / np.where(size > 0, size, 1), 6), -np.inf)
+            yield at, s, q["id"].to_numpy()[at, None] != ids[None, :]
+
+    def best(q, c):
+        c = c.sort_values("id", ignore_index=True)
+        out, label, known = [], c["label"].to_numpy(), c["label"].notna().to_numpy()
+        for at, s, others in near(q, c) if len(q) and len(c) else ():
+            fits = others & known & (q["label"].to_numpy()[at, None] == label)
+            s = np.where(fits, np.maximum(s, -2), -np.inf)
+            k = s.argmax(axis=1)
+            out += [(i, float(s[r, j]), c["id"][j]) for r, (i, j) in enumerate(zip(q["id"][at], k)) if fits[r].any()]
+        return pd.DataFrame(out, columns=["id", "s", "i"])
+
+    def before(q, c):
+        out, ids = [], c["id"].to_numpy()
+        for at, s, others in near(q, c) if len(q) and len(c) else ():
+            s, mine = np.maximum(s, -2), q["s"].to_numpy()[at, None]
+            ahead = others & ((s > mine) | ((s == mine) & (ids < q["i"].to_numpy()[at, None])))
+            out += zip(q["id"][at], ahead.sum(axis=1))
+        return pd.DataFrame(out, columns=["id", "n"])
+
+    def paired(queries, run, schema):
+        left = queries.select("*", cast.alias("x"), other.alias("y")).groupBy("x", "y")
+        again = own.select(*(F.col(k).alias(k) for k in own.columns))  # else the two sides share their columns' ids
+        right = again.select("*", cast.alias("y"), other.alias("x")).groupBy("x", "y")
+        return left.cogroup(right).applyInPandas(run, schema)
+
+    first = paired(own, best, f"id {kind}, s double, i {kind}").groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), "i")).alias("m"))
+    asked = own.join(first.select("id", (-F.col("m.s")).alias("s"), F.col("m.i").alias("i")), "id")
+    counts = paired(asked, before, f"id {kind}, n long").groupBy("id").agg((F.sum("n") + 1).alias("rank"))
+    return own.select("id", "label").join(counts, "id", "left").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "rank")
+
+
 def rank_metrics(df: DataFrame, rank: str = "rank", by: str | None = None) -> DataFrame:
     """queries, mrr (reciprocals rounded to 4 before the mean), hits at 1, 5 and 10, misses;
     a null rank counts as a miss."""

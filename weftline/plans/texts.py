@@ -157,6 +157,15 @@ def mrr(spark, sf_dir):
     return search.rank_metrics(rank_of_match(spark, sf_dir))
 
 
+def rank_of_match_all(spark, sf_dir):
+    """rank_of_match with every vector as a query; the queries of its SQL are one a label."""
+    return search.match_ranks(vectors(spark, sf_dir))
+
+
+def mrr_all(spark, sf_dir):
+    return search.rank_metrics(rank_of_match_all(spark, sf_dir))
+
+
 def span_first_document(spark, sf_dir):
     """For each benchmark passage the least doc_id whose text contains it, case apart."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
@@ -230,7 +239,7 @@ def regression_guards(spark, sf_dir):
     return evaluate.guards(made(d), made(d.where("w >= 50")))
 
 
-NAMES = (doc_words, doc_cleaned, doc_structure, doc_sentences, doc_scores, doc_adaptive, doc_titled, doc_prompts, extraction_diagnostics, keyword_search, keyword_search_agent, page_lookup, page_list, chunk_words, chunk_markdown, chunk_semantic, semantic_breaks, vector_rows, vector_topk, rank_of_match, mrr, span_first_document, bm25, hybrid_retrieval, throttle_delays, response_means, spread_sample, source_counts, conversation_chunks, robots_sitemaps, robots_allowed, replies, regression_guards)
+NAMES = (doc_words, doc_cleaned, doc_structure, doc_sentences, doc_scores, doc_adaptive, doc_titled, doc_prompts, extraction_diagnostics, keyword_search, keyword_search_agent, page_lookup, page_list, chunk_words, chunk_markdown, chunk_semantic, semantic_breaks, vector_rows, vector_topk, rank_of_match, mrr, rank_of_match_all, mrr_all, span_first_document, bm25, hybrid_retrieval, throttle_delays, response_means, spread_sample, source_counts, conversation_chunks, robots_sitemaps, robots_allowed, replies, regression_guards)
 QUERIES = {f.__name__: f for f in NAMES}
 
 # --- SQL
