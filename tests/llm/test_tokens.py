@@ -69,6 +69,26 @@ def test_round_trip_and_agreement(texts):
     assert got == encode(texts)
 
 
+def thue_morse(n, a, b):
+    """Its complement has the same polynomial hash modulo 2**64, whatever the base."""
+    return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    from weftline.llm import textarrays
+
+    voc = bpe.encoder(bpe.VOCABULARY).voc
+    pair = [thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")]
+    got = encode(pair)
+    assert [bpe.decode(voc, np.array(g)).tobytes().decode() for g in got] == pair and got == [naive(t.encode(), voc) for t in pair]
+    real = textarrays.content_keys
+    monkeypatch.setattr(textarrays, "content_keys", lambda d, s, e: np.where(e - s > 7, textarrays.LONG, real(d, s, e)))
+    enc = bpe.Encoder(bpe.VOCABULARY)
+    for batch in (["abcdefghij klmnopqrst abcdefghij", "klmnopqrst uvwxyzabcd"], ["uvwxyzabcd abcdefghij", "short words klmnopqrst other_long_one"]):
+        ids, at = enc.encode(*text_buffers(pa.array(batch, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [reference().encode_ordinary(t) for t in batch]
+
+
 def test_column_cases(spark):
     rows = [(1, "hello hello", "q"), (None, None, "q"), (2, "", None), (2, "", None), (3, "long word " * 30000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens string")

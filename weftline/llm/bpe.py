@@ -2,8 +2,8 @@
 
 The pieces of a text (words with their leading space, numbers, runs of signs, white space)
 are found by comparing the character classes of neighbouring characters, for a whole
-buffer at once. Each distinct piece is merged once in a worker's life: the ranks of its adjacent pairs are the leaves of a segment tree of minima, keyed by rank and then place,
-so the root is the leftmost pair of lowest rank; a merge changes three leaves, and each
+buffer at once. Each distinct piece is merged once in a worker's life: the ranks of its
+adjacent pairs are the leaves of a segment tree of minima, keyed by rank and then place, so the root is the leftmost pair of lowest rank; a merge changes three leaves, and each
 change goes up one path of the tree. Merging ends when the root says that no pair can be
 merged. Trees of one size are kept as rows of one matrix and advance together.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.plumbing import small_batches
-from weftline.llm.textarrays import BYTE_CODES, U64, mix, pieces, prefix_sums, ranges, span_hash
+from weftline.llm.textarrays import U64, first_equals, mix, pieces, ranges, same_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NO_PAIR = np.int64(2**62)
@@ -219,7 +219,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 class Encoder:
     """Encodes buffers of texts; distinct pieces are merged once and then remembered,
-    in sorted arrays that are dropped when they outgrow CACHE_BYTES."""
+    in sorted arrays that are dropped when they outgrow CACHE_BYTES. Pieces are the same
+    only if their bytes are: where a key doesn't hold them all, they are compared."""
 
     def __init__(self, path: str):
         self.voc = vocabulary(path)
@@ -227,7 +228,34 @@ class Encoder:
 
     def forget(self) -> None:
         self.known, self.at, self.count = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.text_at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def remembered(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the memory, whether that is the same piece, byte for byte)."""
+        slot = np.searchsorted(self.known, keys)
+        hit = slot < len(self.known)
+        hit[hit] = self.known[slot[hit]] == keys[hit]
+        long = np.flatnonzero(hit & (sizes > 7))
+        equal = self.size[slot[long]] == sizes[long]
+        some = long[equal]
+        equal[equal] = same_bytes(data, starts[some], self.text, self.text_at[slot[some]], sizes[some])
+        hit[long] = equal
+        return slot, hit
+
+    def remember(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        """Adds pieces; of those with equal keys the first alone."""
+        slot = np.searchsorted(self.known, keys)
+        there = slot < len(self.known)
+        there[there] = self.known[slot[there]] == keys[there]
+        new = ~there
+        new[1:] &= keys[1:] != keys[:-1]
+        keys, starts, sizes, at, count = keys[new], starts[new], sizes[new], at[new], count[new]
+        held = np.where(sizes > 7, sizes, 0)
+        text_at = len(self.text) + np.cumsum(held) - held
+        self.text = np.concatenate([self.text, data[ranges(starts, held)]])
+        order = np.argsort(np.concatenate([self.known, keys]), kind="stable")
+        self.known, self.at, self.count, self.text_at, self.size = (np.concatenate(x)[order] for x in ((self.known, keys), (self.at, at), (self.count, count), (self.text_at, text_at), (self.size, sizes)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token ids, row offsets)."""
@@ -235,24 +263,19 @@ class Encoder:
         if not len(pos):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         ends = np.append(pos[1:], len(data))
-        h = span_hash(prefix_sums(BYTE_CODES[data]), pos, ends)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.known, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = slot < len(self.known)
-        known[inside] = self.known[slot[inside]] == distinct[inside]
-        at, count = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        keys, first, inverse = first_equals(data, pos, ends)
+        starts, sizes = pos[first], (ends - pos)[first]
+        slot, known = self.remembered(keys, data, starts, sizes)
+        at, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
         at[known], count[known] = self.at[slot[known]], self.count[slot[known]]
         new = np.flatnonzero(~known)
         pool = self.ids
         if len(new):
-            ids, counts = merge(self.voc, data, pos[first[new]], (ends - pos)[first[new]])
+            ids, counts = merge(self.voc, data, starts[new], sizes[new])
             at[new], count[new] = len(pool) + np.cumsum(counts) - counts, counts
-            pool = np.concatenate([pool, ids])
-            keep = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(keep, kind="stable")
-            self.known, self.at, self.count, self.ids = keep[order], np.concatenate([self.at, at[new]])[order], np.concatenate([self.count, count[new]])[order], pool
-            if self.known.nbytes * 3 + self.ids.nbytes > CACHE_BYTES:
+            self.ids = pool = np.concatenate([pool, ids])
+            self.remember(keys[new], data, starts[new], sizes[new], at[new], count[new])
+            if self.known.nbytes * 5 + self.ids.nbytes + self.text.nbytes > CACHE_BYTES:
                 self.forget()
         n = count[inverse]
         total = np.concatenate([[0], np.cumsum(n)])

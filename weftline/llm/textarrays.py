@@ -8,6 +8,7 @@ A null text counts as an empty one; each operator says what it does with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,93 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    return np.ndarray(len(data) + 1, U64, room, strides=(1,))
+
+
+def blocks_of(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offset of each range's first block, number of its range, block in it, place) of ranges cut into eights."""
+    count = (lengths + 7) >> 3
+    owner = np.repeat(np.arange(len(starts)), count)
+    first = np.cumsum(count) - count
+    nth = np.arange(len(owner)) - first[owner]
+    return first, owner, nth, starts[owner] + 8 * nth
+
+
+TAILS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
+LONG = U64(1 << 63)
+
+
+def content_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A key for the bytes of each range [start, end). Up to seven bytes are their own key,
+    with their number on top. A longer range has the top bit set and a hash of its eights,
+    each mixed with its place, so that no polynomial identity makes two of them equal; who
+    has to be sure compares the bytes (first_equals)."""
+    lengths = (ends - starts).astype(np.int64)
+    view = eights(data)
+    short = lengths < 8
+    out = np.empty(len(starts), U64)
+    n = lengths[short]
+    out[short] = (view[starts[short]] & TAILS[n]) | (n.astype(U64) << U64(56))
+    if not short.all():
+        n = lengths[~short]
+        first, owner, nth, at = blocks_of(starts[~short], n)
+        value = view[at] & TAILS[np.minimum(n[owner] - 8 * nth, 8)]
+        h = np.add.reduceat(mix(value ^ mix(nth.astype(U64) + U64(BASE))), first)
+        out[~short] = mix(h + n.astype(U64)) | LONG
+    return out
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the ranges of `lengths` bytes at a_at in a and at b_at in b are equal, byte for byte."""
+    lengths = lengths.astype(np.int64)
+    out = np.ones(len(lengths), bool)
+    some = np.flatnonzero(lengths > 0)
+    if len(some):
+        n = lengths[some]
+        first, owner, nth, at = blocks_of(a_at[some], n)
+        differs = ((eights(a)[at] ^ eights(b)[b_at[some][owner] + 8 * nth]) & TAILS[np.minimum(n[owner] - 8 * nth, 8)]) != 0
+        out[some] = np.add.reduceat(differs, first, dtype=np.int64) == 0
+    return out
+
+
+def first_equals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in ascending order, first range of each, number of each range's key) of distinct
+    ranges: as np.unique over content_keys, but ranges of equal key are compared byte for
+    byte, and those that differ get distinct numbers under the same key."""
+    distinct, first, inverse = np.unique(content_keys(data, starts, ends), return_index=True, return_inverse=True)
+    long = np.flatnonzero(ends - starts > 7)
+    long = long[first[inverse[long]] != long]
+    lead = first[inverse[long]]
+    equal = (ends - starts)[long] == (ends - starts)[lead]
+    equal[equal] = same_bytes(data, starts[long[equal]], data, starts[lead[equal]], (ends - starts)[long[equal]])
+    if not equal.all():
+        more: dict[bytes, int] = {}
+        keys, firsts = [], []
+        for k in long[~equal].tolist():
+            body = data[starts[k] : ends[k]].tobytes()
+            if body not in more:
+                more[body] = len(distinct) + len(keys)
+                keys.append(distinct[inverse[k]])
+                firsts.append(k)
+            inverse[k] = more[body]
+        order = np.argsort(np.concatenate([distinct, np.array(keys, U64)]), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        distinct, first, inverse = np.concatenate([distinct, np.array(keys, U64)])[order], np.concatenate([first, firsts])[order], place[inverse]
+    return distinct, first, inverse
+
+
+def text_digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 hash of each whole row, which tell texts of one doc_id apart."""
+    flat = data.tobytes()
+    at = offsets.tolist()
+    return np.frombuffer(b"".join(blake2b(flat[s:e], digest_size=8).digest() for s, e in zip(at, at[1:])), np.int64)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -110,7 +198,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(BYTE_CODES[data]), starts, ends)
+    return mix(content_keys(data, starts, ends))
 
 
 def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
