@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.plumbing import by_key, columns_of, kept, numbers, small_batches
-from weftline.llm.textarrays import BYTE_CODES, POWERS, U64, mix, pieces, prefix_sums, span_hash
+from weftline.llm.textarrays import BYTE_CODES, POWERS, U64, content_keys, mix, pieces, prefix_sums, text_digests
 
 WINDOW, LEAST, MOST, MASK = 32, 256, 8192, U64(1023 << 54)
 HELD_BYTES = 32 << 20
@@ -62,8 +62,8 @@ def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], cuts[:-1]])
         row = np.repeat(np.arange(len(counts)), counts)
         seq = np.arange(len(cuts)) - np.repeat(np.cumsum(counts) - counts, counts)
-        h = span_hash(sums, starts, cuts).view(np.int64)
-        whole = span_hash(sums, offsets[:-1], offsets[1:]).view(np.int64)
+        h = content_keys(data, starts, cuts).view(np.int64)
+        whole = text_digests(data, offsets)
         ids = numbers(columns_of(batch, "doc_id")[0])
         flat, places = data.tobytes(), list(zip(ids[row].tolist(), whole[row].tolist(), seq.tolist()))
         bodies: list[bytes | None] = []
@@ -111,21 +111,23 @@ def verified_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, row, keep_id, n_copies) of every document; row is a hash of its text that
-    tells texts of the same doc_id apart. keep_id is the least doc_id with an equal text
-    and n_copies the number of distinct (doc_id, text) that share it.
-
-    Equal means equal bytes; empty texts equal one another. Rows with a null text or a
-    null doc_id take no part and have no row in the result. Identical rows count once.
-    Other columns of the table are not read. An empty table gives no rows.
+    """(doc_id, row, keep_id, n_copies) of every document that has copies; row is a digest of
+    its text that tells texts of the same doc_id apart. keep_id is the least doc_id with an
+    equal text and n_copies, over 1, the number of distinct (doc_id, text) that share it.
+
+    Equal means equal bytes; empty texts equal one another. A very long text is many chunks
+    and so one long recipe. Rows with a null text or a null doc_id take no part and have no
+    row in the result. Identical rows count once. Other columns of the table are not read.
+    An empty table gives no rows. A group of copies, however large, is never gathered: its
+    members get keep_id by a join on the recipe, which adaptive execution splits if skewed.
     """
     small_batches(spark)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = source.mapInArrow(chunk_rows, CHUNKS)
     checked = chunks.repartition("h").sortWithinPartitions("h").mapInArrow(verified_rows, "doc_id long, row long, seq int, c_doc long, c_row long, c_seq int")
-    lists = checked.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("seq", "c_doc", "c_row", "c_seq"))).alias("recipe"))
-    recipes = lists.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies"), F.collect_list(F.struct("doc_id", "row")).alias("members"))
-    return recipes.select(F.explode("members").alias("m"), "keep_id", "n_copies").select("m.doc_id", "m.row", "keep_id", "n_copies")
+    lists = kept(spark, checked.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("seq", "c_doc", "c_row", "c_seq"))).alias("recipe")), "recipes")
+    groups = lists.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    return lists.join(groups, "recipe").select("doc_id", "row", "keep_id", "n_copies")
 
 
 def duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     doc_id has several rows, each differing text is judged as a document of its own, and
     of rows that repeat doc_id and text one is kept.
     """
-    groups = kept(spark, exact_groups(spark, docs).where("n_copies > 1").select("doc_id", "row", "keep_id"), "copies")
+    groups = kept(spark, exact_groups(spark, docs).select("doc_id", "row", "keep_id"), "copies")
     repeated = kept(spark, docs.where("doc_id is not null and text is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     drop = groups.where("doc_id <> keep_id").select("doc_id").distinct()
     if repeated.isEmpty():
