@@ -92,6 +92,51 @@ def test_simhash_of_repeated_ids(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each_group(spark, df).collect()) == [1, 2]
 
 
+def flipped(rng, base, n, bits):
+    """n copies of a fingerprint with exactly that many other bits flipped in each."""
+    where = np.argsort(rng.random((n, simhash.BITS)), axis=1)[:, :bits]
+    out = np.repeat(base[None], n, axis=0)
+    for k in range(bits):
+        np.bitwise_xor.at(out, (np.arange(n), where[:, k] // 64), np.uint64(1) << (where[:, k] % 64).astype(np.uint64))
+    return out
+
+
+def test_a_large_family_takes_linear_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    fp = flipped(rng, rng.integers(0, 2**63, 4, dtype=np.uint64), 100_000, 15)
+    ids = rng.permutation(100_000) + 11
+    tracemalloc.start()
+    a, b = simhash.close_in_list(ids, fp, 52, 1024, simhash.repeats_for(52 / 256, 0.92), 1)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and len(a) == 99_999 and set(b.tolist()) == {11}
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("small", [16, 64])
+def test_recall_of_pairs_at_the_radius_within_long_lists(small):
+    """Lists far beyond `small`, so that each pair has to be found one or more levels down."""
+    rng = np.random.default_rng(4)
+    first = rng.integers(0, 2**63, (700, 4), dtype=np.uint64)
+    second = np.concatenate([flipped(rng, f, 1, 52) for f in first])
+    a, b = simhash.close_in_list(np.arange(1400), np.concatenate([first, second]), 52, small, simhash.repeats_for(52 / 256, 0.92), 9)
+    found = sum((x, y) == (i + 700, i) for x, y in zip(a.tolist(), b.tolist()) for i in [y])
+    assert found >= 0.92 * 700 - 2 * (700 * 0.92 * 0.08) ** 0.5
+
+
+def test_stars_give_exact_components_at_the_last_level(monkeypatch):
+    monkeypatch.setattr(simhash, "DEEPEST", 0)
+    rng = np.random.default_rng(5)
+    chain = [rng.integers(0, 2**63, 4, dtype=np.uint64)]
+    for _ in range(150):
+        chain.append(flipped(rng, chain[rng.integers(len(chain))], 1, int(rng.integers(10, 60)))[0])
+    fp = np.concatenate([np.array(chain), rng.integers(0, 2**63, (50, 4), dtype=np.uint64)])
+    gap = simhash.distances(fp[:, None], fp[None, :])
+    label = components(len(fp), [(x, y) for x, y in zip(*np.nonzero(gap <= 52)) if x < y])
+    a, b = simhash.close_in_list(np.arange(len(fp)), fp, 52, 8, 3, 2)
+    assert dict(zip(a.tolist(), b.tolist())) == {i: g for i, g in enumerate(label) if g != i}
+
+
 def test_every_fingerprint_has_one_centre():
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 2**63, (500, 4), dtype=np.uint64)

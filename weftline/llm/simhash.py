@@ -13,8 +13,9 @@ filtered again on further strips, down to lists that are compared in full. Every
 repeated over `repeats` independent strips. Two fingerprints whose bits differ with
 probability g share a list with probability P0 + P1/8 + P2/8, where Pi is the binomial
 chance of i differing bits in 15; `repeats_for` turns that into the number of repetitions
-for a target recall. The lists of the first strip are spread over the cluster; the
-recursion below them runs where the list is.
+for a target recall, at every depth of recursion. Families of near copies, which no strip
+parts, are taken out of long lists first, with all their links. The lists of the first
+strip are spread over the cluster; the recursion below them runs where the list is.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.plumbing import by_key, connected_components, kept, numbers, shards, small_batches
-from weftline.llm.textarrays import U64, mix, pieces, span_hash, prefix_sums, BYTE_CODES, words
+from weftline.llm.textarrays import U64, mix, pieces, word_hashes, words
 
 BITS, STRIP, LONGEST = 256, 15, 12
+DEEPEST = 24  # levels of strips; a list that is still long there is searched in full, star by star
 PLANES = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], U64)
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -53,7 +55,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     n = len(offsets) - 1
     data = folded(data)
     starts, ends, rows = words(data, offsets)
-    h = span_hash(prefix_sums(BYTE_CODES[data]), starts, ends)
+    h = word_hashes(data, starts, ends)
     row = np.repeat(np.arange(n), np.diff(rows))
     _, first = np.unique(h + mix(row.astype(U64) + U64(1)), return_index=True)
     first.sort()
@@ -111,7 +113,11 @@ def same_list(gap: float) -> float:
 
 
 def repeats_for(gap: float, recall: float) -> int:
-    return ceil(log(1 - recall) / log(1 - same_list(gap)))
+    """Strips a level, so that a pair at that gap is found with probability `recall` at least,
+    however deep its lists are filtered again: a pair found below with probability s is
+    found by R strips with 1 - (1 - s * same_list)**R, and with this R s = recall gives
+    recall again."""
+    return ceil(log(1 - recall) / log(1 - recall * same_list(gap)))
 
 
 def list_rows(repeats: int):
@@ -125,40 +131,101 @@ def list_rows(repeats: int):
     return rows
 
 
-def close_in_list(ids: np.ndarray, fp: np.ndarray, radius: int, small: int, inner: int, seed: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(node, least node of its component) among the fingerprints of one list."""
-    n = len(ids)
-    if n < 2:
-        return
-    if n <= small or depth == 2:
-        step = max(1, (1 << 20) // n)
-        a, b = [], []
-        for lo in range(0, n, step):
-            gap = sum(np.bitwise_count(fp[lo : lo + step, None, i] ^ fp[None, :, i]).astype(np.uint16) for i in range(4))
-            x, y = np.nonzero(gap <= radius)
-            ahead = y > x + lo
-            a.append(x[ahead] + lo)
-            b.append(y[ahead])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            label, before = ids.copy(), None
-            while before is None or (label != before).any():
-                before = label.copy()
-                np.minimum.at(label, a, before[b])
-                np.minimum.at(label, b, before[a])
-            moved = label != ids
-            yield ids[moved], label[moved]
-        return
-    for r in range(inner):
-        keys = strip_centres(fp, seed * 64 + r + 1)
-        order = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.diff(keys[order])) + 1
-        parts = np.split(order, cuts)
-        if 2 * max(map(len, parts)) > n:  # a family of near copies: strips don't part it
-            yield from close_in_list(ids, fp, radius, n, inner, seed, depth)
+def distances(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Differing bits of two arrays of fingerprints, broadcast against each other."""
+    return sum(np.bitwise_count(fp[..., i] ^ other[..., i]).astype(np.uint16) for i in range(4))
+
+
+class ListSearch:
+    """The components of one list. Node numbers are in order of id; parent leads each node to
+    the least node known to hang together with it. Memory is linear in the list: pairs
+    are joined block by block and not kept."""
+
+    def __init__(self, fp: np.ndarray, radius: int, small: int, inner: int):
+        self.fp, self.radius, self.small, self.inner = fp, radius, small, inner
+        self.parent = np.arange(len(fp))
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.parent[a], self.parent[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                return
+            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = self.parent[self.parent]
+                if (up == self.parent).all():
+                    break
+                self.parent = up
+
+    def compare(self, nodes: np.ndarray) -> None:
+        """All pairs of a small list."""
+        fp = self.fp[nodes]
+        step = max(1, (1 << 18) // len(nodes))
+        for lo in range(0, len(nodes), step):
+            x, y = np.nonzero(distances(fp[lo : lo + step, None], fp[None, lo:]) <= self.radius)
+            ahead = y > x
+            self.unite(nodes[x[ahead] + lo], nodes[y[ahead] + lo])
+
+    def absorb(self, nodes: np.ndarray, pivot: int, gap: np.ndarray) -> np.ndarray:
+        """Joins the pivot's star (what lies within the radius of it) and all links of the star
+        to the rest, which is returned. By the triangle inequality a node at distance d of
+        the pivot can only be near nodes up to radius + d away from it; a node of the rest
+        needs no further look once it is joined."""
+        star = gap <= self.radius
+        members, own, rest = nodes[star], gap[star], nodes[~star]
+        self.unite(members, np.full(len(members), pivot))
+        order = np.argsort(gap[~star], kind="stable")
+        ring, ring_gap = rest[order], gap[~star][order]
+        far = np.argsort(-own.astype(np.int64), kind="stable")
+        members, own = members[far], own[far]
+        at = 0
+        while at < len(members):
+            reach = int(np.searchsorted(ring_gap, own[at] + self.radius, "right"))
+            if not reach:
+                break
+            step = max(1, (1 << 18) // reach)
+            near = (distances(self.fp[members[at : at + step], None], self.fp[None, ring[:reach]]) <= self.radius).any(axis=0)
+            if near.any():
+                self.unite(ring[:reach][near], np.full(int(near.sum()), pivot))
+                keep = np.ones(len(ring), bool)
+                keep[:reach] = ~near
+                ring, ring_gap = ring[keep], ring_gap[keep]
+            at += step
+        return rest
+
+    def search(self, nodes: np.ndarray, seed: int, level: int = 0) -> None:
+        rng = np.random.default_rng([20150426, seed, 1])
+        misses = 0
+        # Families of near copies, which strips don't part, go first: they are an eighth of
+        # the list or more, so a random node finds one soon.
+        while len(nodes) > self.small and misses < 8:
+            pivot = int(nodes[rng.integers(len(nodes))])
+            gap = distances(self.fp[nodes], self.fp[pivot])
+            if level < DEEPEST and 8 * int((gap <= self.radius).sum()) < len(nodes):
+                misses += 1
+            else:
+                nodes = self.absorb(nodes, pivot, gap)
+        if len(nodes) <= self.small:
+            if len(nodes) > 1:
+                self.compare(nodes)
             return
-        for part in parts:
-            yield from close_in_list(ids[part], fp[part], radius, small, inner, seed * 64 + r + 1, depth + 1)
+        for r in range(self.inner):
+            keys = strip_centres(self.fp[nodes], seed * 128 + r + 1)
+            order = np.argsort(keys, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+                if len(part) > 1:
+                    self.search(nodes[part], seed * 128 + r + 1, level + 1)
+
+
+def close_in_list(ids: np.ndarray, fp: np.ndarray, radius: int, small: int, inner: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the fingerprints of one list that are joined to another."""
+    order = np.argsort(ids, kind="stable")
+    found = ListSearch(fp[order], radius, small, inner)
+    found.search(np.arange(len(ids)), seed)
+    moved = np.flatnonzero(found.parent != np.arange(len(ids)))
+    return ids[order[moved]], ids[order[found.parent[moved]]]
 
 
 def close_pairs(radius: int, small: int, inner: int):
@@ -170,7 +237,7 @@ def close_pairs(radius: int, small: int, inner: int):
             found = []
             for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
                 s, e = cuts[i], cuts[i + 1]
-                found += close_in_list(ids[s:e], fp[s:e], radius, small, inner, int(keys[s]) + 1)
+                found.append(close_in_list(ids[s:e], fp[s:e], radius, small, inner, int(keys[s]) + 1))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
@@ -185,7 +252,9 @@ def near_groups(spark: SparkSession, docs: DataFrame, radius: int = 52, recall:
 
     Any table with doc_id and text will do; other columns are not read. Documents whose
     text is null or has no word take no part, nor do rows with a null doc_id. Rows that
-    repeat a doc_id act as one document. An empty table gives no rows.
+    repeat a doc_id act as one document. A very long text has one fingerprint of all its
+    words. Equal fingerprints are searched for once and join their group by a join. An
+    empty table gives no rows.
     """
     small_batches(spark)
     repeats = repeats_for(radius / BITS, recall)
