@@ -1,39 +1,50 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-A document may belong to several components (here its source and its language), so its
-tokens can serve any one of their quotas. Documents with the same set of components form a
-pattern, and the whole problem is a small flow network: each pattern offers its tokens once
-for nothing, a second time for 1, a third for 4 and so on (convex costs, so repetition is
-spread and comes last), and each component takes up to its quota. The maximum flow of least
-cost says how many tokens of each pattern go to each component. Only pattern totals reach
-the driver: their number depends on how many sources and languages there are, not on the
-number of documents, and is checked.
+A use of a document counts once on each of two layers: for one of its sources, and for one
+of its kinds (here its language). Every source and every kind has a quota of tokens, and
+both layers have the whole budget. Documents with the same set of sources and kinds form a
+pattern, and the problem is a small flow network: tokens flow from the quotas of the
+sources through the patterns to the quotas of the kinds. A pattern lets its tokens through
+once for nothing, a second time for 1, a third for 4 and so on (convex costs, so repetition
+is spread and comes last); where sources overlap the flow decides for which of them a
+document is used. The maximum flow of least cost says how many tokens of each pattern serve
+what. Without kinds the patterns lead to the sink and there is one layer.
 
 Documents are then taken in the order of a seeded hash. A pattern's tape is its documents in
-that order, over and over; component c owns a stretch of it as long as its flow. Nearly all
-documents are decided by the bucket of their hash alone, without a shuffle; only the
-buckets in which a stretch begins or ends are put in order.
+that order, over and over; each pair of source and kind owns a stretch of it as long as its
+flow. Where stretches begin and end in that order is found by refining the hash, a few bits
+a step, in narrow tables without texts; what is left are hash thresholds for each pattern,
+and documents are chosen by them in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 10
-MOST_PATTERNS = 50_000
+from weftline.llm import bpe
+from weftline.llm.plumbing import kept, small_batches
+from weftline.llm.textarrays import pieces
 
+STEP_BITS = 12
+MOST_PATTERNS = 20_000  # more raise an error: the flow is found on the driver and its thresholds are broadcast
+BOTTOM = -(2**63)
 
-def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], epochs: int) -> tuple[list[dict[int, int]], int]:
-    """(flow from each pattern to each of its components, total cost) of the cheapest maximum
-    flow; the k-th use of a pattern's tokens costs (k - 1)**2 each. Successive shortest paths,
-    each found by a queue-based Bellman-Ford search over the residual network."""
+
+def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], epochs: int, kinds: list[list[int]] | None = None, kind_quota: list[int] | None = None) -> tuple[list[dict[int, int]], list[dict[int, int]], int]:
+    """(flow into each pattern from each of its sources, flow out of it to each of its kinds,
+    total cost) of the cheapest maximum flow; the k-th use of a pattern's tokens costs
+    (k - 1)**2 each. Successive shortest paths, each found by a queue-based Bellman-Ford
+    search over the residual network."""
     n_p, n_c = len(capacity), len(quota)
-    source, sink = n_p + n_c, n_p + n_c + 1
-    to, room, cost, out = [], [], [], [[] for _ in range(n_p + n_c + 2)]
+    n_k = len(kind_quota or ())
+    enter, leave, kind_at = n_c, n_c + n_p, n_c + 2 * n_p
+    source, sink = kind_at + n_k, kind_at + n_k + 1
+    to, room, cost, out = [], [], [], [[] for _ in range(sink + 1)]
 
     def arc(a: int, b: int, cap: int, c: int) -> None:
         out[a].append(len(to))
@@ -42,13 +53,20 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
         room.extend((cap, 0))
         cost.extend((c, -c))
 
+    endless = sum(quota) + 1
+    for c, q in enumerate(quota):
+        arc(source, c, q, 0)
     for p, cap in enumerate(capacity):
-        for k in range(epochs):
-            arc(source, p, cap, k * k)
         for c in members[p]:
-            arc(p, n_p + c, sum(quota) + 1, 0)
-    for c, q in enumerate(quota):
-        arc(n_p + c, sink, q, 0)
+            arc(c, enter + p, endless, 0)
+        for k in range(epochs):
+            arc(enter + p, leave + p, cap, k * k)
+        for d in kinds[p] if kinds is not None else ():
+            arc(leave + p, kind_at + d, endless, 0)
+        if kinds is None:
+            arc(leave + p, sink, endless, 0)
+    for d, q in enumerate(kind_quota or ()):
+        arc(kind_at + d, sink, q, 0)
     total = 0
     while True:
         best: list[int | None] = [None] * len(out)
@@ -77,93 +95,194 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
             room[via[node] ^ 1] += push
             node = to[via[node] ^ 1]
         total += push * best[sink]
-    flows: list[dict[int, int]] = []
-    for p in range(n_p):
-        flows.append({to[e] - n_p: room[e ^ 1] for e in out[p] if e % 2 == 0 and room[e ^ 1] > 0})
-    return flows, total
+    into: list[dict[int, int]] = [{} for _ in range(n_p)]
+    onto: list[dict[int, int]] = [{} for _ in range(n_p)]
+    for e in range(0, len(to), 2):
+        a, b, n = to[e ^ 1], to[e], room[e ^ 1]
+        if n > 0 and a < n_c and enter <= b < leave:
+            into[b - enter][a] = n
+        elif n > 0 and leave <= a < kind_at and kind_at <= b < kind_at + n_k:
+            onto[a - leave][b - kind_at] = n
+    return into, onto, total
 
 
-def source_and_language() -> Column:
-    """The components of a document of the documents table; null columns give none."""
-    return F.array_compact(F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("lang:"), "lang")))
+def flattened_targets(tokens: dict[str, int], power: float = 0.5) -> dict[str, float]:
+    """Weights by tokens ** power: large sources give way to small ones, without being levelled."""
+    weights = {name: max(n, 0) ** power for name, n in tokens.items()}
+    total = sum(weights.values()) or 1
+    return {name: w / total for name, w in weights.items()}
 
 
-def estimated_tokens() -> Column:
-    """A quarter of the text's bytes, rounded up; 0 for a null or empty text."""
-    return F.coalesce(F.ceil(F.octet_length(F.col("text").cast("string")) / 4), F.lit(0)).cast("long")
+def quotas(tokens: dict[str, int], targets: dict[str, float] | None, total: int) -> dict[str, int]:
+    """Tokens for each name, `total` in all: shares rounded down, the rest to the largest remainders."""
+    weights = flattened_targets(tokens) if targets is None else targets
+    share = sum(weights.values()) or 1
+    exact = {name: total * w / share for name, w in weights.items()}
+    found = {name: int(x) for name, x in exact.items()}
+    left = (total if weights and sum(weights.values()) > 0 else 0) - sum(found.values())
+    for name in sorted(exact, key=lambda n: (found[n] - exact[n], n))[: max(left, 0)]:
+        found[name] += 1
+    return found
 
 
-def flattened_targets(tokens: dict[str, int], power: float = 0.5) -> dict[str, float]:
-    """Each family (the part before the colon) has an equal share, split by tokens ** power."""
-    families: dict[str, dict[str, float]] = {}
-    for name, n in tokens.items():
-        families.setdefault(name.split(":")[0], {})[name] = max(n, 0) ** power
-    return {name: w / (sum(f.values()) or 1) / len(families) for f in families.values() for name, w in f.items()}
-
-
-def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, epochs: int = 4, seed: int = 42, components: Column | None = None) -> DataFrame:
-    """The chosen documents: all columns of docs as the struct weft_row, with component,
-    epoch (0 for the first use) and tokens; a document used k times has k rows.
-
-    components is the array of names a document belongs to (repeats count once); targets
-    maps names to weights (by default flattened_targets over all documents), of which
-    budget times the corpus's tokens are the quotas. Each pattern's chosen tokens differ
-    from its flow by less than one document. Documents of no component, or with a null or
-    empty text, are not chosen. A null doc_id is hashed like any value; equal hashes are
-    ordered by doc_id, and rows that repeat a doc_id are documents of their own. An empty
-    table gives no rows.
-    """
-    base = docs.select(F.struct("*").alias("weft_row"), F.array_sort(F.array_distinct(source_and_language() if components is None else components)).alias("pattern"), estimated_tokens().alias("tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.col("doc_id").alias("weft_id"))
-    base = base.where("tokens > 0 and size(pattern) > 0").withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
-    seen = base.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("n")).groupBy("pattern").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "n")).alias("buckets")).limit(MOST_PATTERNS + 1).collect()
+def stretches(into: dict[int, int], onto: dict[int, int] | None) -> list[tuple[int, int, int, int]]:
+    """(begin, end, source, kind) on a pattern's tape: sources side by side in their order, kinds likewise."""
+    found, at = [], 0
+    left = sorted(into.items())
+    right = [(-1, sum(into.values()))] if onto is None else sorted(onto.items())
+    i = j = 0
+    a = left[0][1] if left else 0
+    b = right[0][1] if right else 0
+    while i < len(left) and j < len(right):
+        n = min(a, b)
+        if n:
+            found.append((at, at + n, left[i][0], right[j][0]))
+        at, a, b = at + n, a - n, b - n
+        if not a:
+            i += 1
+            a = left[i][1] if i < len(left) else 0
+        if not b:
+            j += 1
+            b = right[j][1] if j < len(right) else 0
+    return found
+
+
+def token_counts(path: str = bpe.VOCABULARY):
+    """A column function: the number of BPE tokens of a text, 0 for a null one."""
+
+    @F.arrow_udf("long")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = bpe.encoder(bpe.on_worker(path))
+        for column in texts:
+            out: list[int] = []
+            for _, data, offsets in pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+                _, at = enc.encode(data, offsets)
+                out += (at[1:] - at[:-1]).tolist()
+            yield pa.array(out, pa.int64())
+
+    return count
+
+
+def source_names() -> Column:
+    """The sources of a document of the documents table; a null source is the source ''."""
+    return F.array(F.concat(F.lit("source:"), F.coalesce(F.col("source").cast("string"), F.lit(""))))
+
+
+def kind_names() -> Column:
+    """The kinds of a document of the documents table, its language; a null one is ''."""
+    return F.array(F.concat(F.lit("lang:"), F.coalesce(F.col("lang").cast("string"), F.lit(""))))
+
+
+def named(sources: Column, kinds: Column | None, seed: int) -> tuple[Column, Column, Column]:
+    """(names of sources and kinds, hash, whether it may be chosen) as columns of docs."""
+    in_order = lambda c: F.array_sort(F.array_distinct(F.array_compact(c)))
+    pattern = F.struct(in_order(sources).alias("sources"), (in_order(kinds) if kinds is not None else F.array().cast("array<string>")).alias("kinds"))
+    usable = (F.length(F.col("text").cast("string")) > 0) & (F.size(pattern["sources"]) > 0)
+    return pattern, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")), usable if kinds is None else usable & (F.size(pattern["kinds"]) > 0)
+
+
+def thresholds(spark: SparkSession, narrow: DataFrame, cuts: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """For each cut (pattern, place within its tokens) the hash at which it falls: documents
+    that begin before the cut have lesser hashes. The hashes of a pattern are summed by
+    ranges, of STEP_BITS bits a step; only the range in which a cut falls is split on, until
+    it holds a single hash. A step sends a row for each open cut to the driver."""
+    found: dict[tuple[int, int], int] = {}
+    wanted = [(p, x, BOTTOM, x) for p, x in cuts]  # pattern, place, first hash of the range, what is left within it
+    width = 64
+    while wanted:
+        step = min(STEP_BITS, width)
+        table = spark.createDataFrame(wanted, "pattern int, place long, base long, rest long")
+        rows = narrow.withColumn("base", F.lit(BOTTOM) if width == 64 else F.shiftleft(F.shiftright("h", width), width))
+        rows = rows.join(F.broadcast(table.select("pattern", "base").distinct()), ["pattern", "base"])
+        parts = rows.groupBy("pattern", "base", F.shiftright("h", width - step).alias("part")).agg(F.sum("tokens").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        # A range has at most 2**STEP_BITS parts, whatever the number of documents.
+        upto = Window.partitionBy("pattern", "base").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        parts = parts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        hits = parts.join(F.broadcast(table), ["pattern", "base"]).where("before <= rest and rest < before + n").select("pattern", "place", "rest", "part", "before", "low", "high").collect()
+        width -= step
+        wanted = []
+        for r in hits:
+            key, left = (r["pattern"], r["place"]), r["rest"] - r["before"]
+            if not left:
+                found[key] = r["low"]
+            elif r["low"] == r["high"]:  # within a document, which begins before the cut
+                found[key] = r["high"] + 1
+            else:
+                wanted.append((*key, r["part"] << width, left))
+    return found
+
+
+def planned(spark: SparkSession, docs: DataFrame, targets: dict[str, float] | None, kind_targets: dict[str, float] | None, budget: float, epochs: int, seed: int, sources: Column, kinds: Column | None, path: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pattern, h, tokens of every document that may be chosen; pattern and its uses)."""
+    small_batches(spark)
+    pattern, h, usable = named(sources, kinds, seed)
+    narrow = docs.where(usable).select(F.col("doc_id").alias("doc_id"), pattern.alias("names"), h.alias("h"), token_counts(path)(F.col("text").cast("string")).alias("tokens"))
+    narrow = kept(spark, narrow, "mixing")
+    seen = narrow.groupBy("names").agg(F.sum("tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(seen) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns of components")
-    seen = sorted(seen, key=lambda r: r["pattern"])
-    per: dict[str, int] = {}
-    for r in seen:
-        for c in r["pattern"]:
-            per[c] = per.get(c, 0) + r["n"]
-    weights = flattened_targets(per) if targets is None else targets
-    names = sorted(weights)
-    index = {c: i for i, c in enumerate(names)}
-    total, share = sum(r["n"] for r in seen) * budget, sum(weights.values()) or 1
-    quota = [int(total * weights[c] / share) for c in names]
-    flows, _ = min_cost_flow([r["n"] for r in seen], [[index[c] for c in r["pattern"] if c in index] for r in seen], quota, epochs)
-    decided, n_runs = [], 0
-    for r, flow in zip(seen, flows):
-        stretches, at = [], 0
-        for c, n in sorted(flow.items()):
-            stretches.append((at, at + n, names[c]))
-            at += n
-        start, runs = 0, []  # runs: (last bucket, its uses or None where they have to be found in order, tape before it)
-        for bucket, n in sorted((b["bucket"], b["n"]) for b in r["buckets"]):
-            own, torn = [], False
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of sources and kinds")
+    seen = sorted(((tuple(r["names"]["sources"]), tuple(r["names"]["kinds"]), r["n"]) for r in seen))
+    per: tuple[dict[str, int], dict[str, int]] = {}, {}
+    for own, kind, n in seen:
+        for layer, names in zip(per, (own, kind)):
+            for x in names:
+                layer[x] = layer.get(x, 0) + n
+    total = int(sum(n for *_, n in seen) * budget)
+    quota, kind_quota = quotas(per[0], targets, total), quotas(per[1], kind_targets, total)
+    first, second = sorted(quota), sorted(kind_quota)
+    into, onto, _ = min_cost_flow([n for *_, n in seen], [[first.index(x) for x in own if x in quota] for own, _, _ in seen], [quota[x] for x in first], epochs, None if kinds is None else [[second.index(x) for x in kind if x in kind_quota] for _, kind, _ in seen], None if kinds is None else [kind_quota[x] for x in second])
+    uses, cuts = [], set()
+    for p, (own, kind, n) in enumerate(seen):
+        for lo, hi, c, d in stretches(into[p], None if kinds is None else onto[p]):
             for k in range(epochs):
-                lo, hi = start + k * r["n"], start + k * r["n"] + n
-                inside = [s for s in stretches if s[0] < hi and s[1] > lo]
-                whole = [s for s in inside if s[0] <= lo and s[1] >= hi]
-                torn |= bool(inside) and not whole
-                own += [(whole[0][2], k)] if whole else []
-            if runs and not torn and runs[-1][1] == own:
-                runs[-1] = bucket, own, start
-            else:
-                runs.append((bucket, None if torn else own, start))
-            start += n
-        n_runs += len(runs)
-        decided.append((r["pattern"], r["n"], stretches, runs))
-    uses = "array<struct<component string, epoch int>>"
-    table = spark.createDataFrame(decided, f"pattern array<string>, capacity long, stretches array<struct<lo long, hi long, component string>>, runs array<struct<hi int, own {uses}, start long>>")
-    joined = base.join(F.broadcast(table) if n_runs <= 1 << 17 else table, "pattern")
-    run = F.get(F.filter("runs", lambda x: x["hi"] >= F.col("bucket")), F.lit(0))
-    joined = joined.withColumn("run", run).drop("runs").select("*", F.col("run.own").alias("own"), F.col("run.start").alias("start")).drop("run")
-    easy = joined.where("own is not null").select("weft_row", "tokens", "own")
-    order = Window.partitionBy("pattern", "bucket").orderBy("h", "weft_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hard = joined.where("own is null").withColumn("at", F.col("start") + F.sum("tokens").over(order) - F.col("tokens"))
-    uses = F.flatten(F.transform("stretches", lambda s: F.transform(F.filter(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda k: (F.col("at") + k * F.col("capacity") >= s["lo"]) & (F.col("at") + k * F.col("capacity") < s["hi"])), lambda k: F.struct(s["component"].alias("component"), k.alias("epoch")))))
-    hard = hard.select("weft_row", "tokens", uses.alias("own"))
-    return easy.unionByName(hard).select("weft_row", "tokens", F.explode("own").alias("use")).select("weft_row", "tokens", F.col("use.component").alias("component"), F.col("use.epoch").alias("epoch"))
-
-
-def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The chosen documents with the columns of docs alone, once for each use."""
-    return mixed(spark, docs, **options).select("weft_row.*")
+                a, b = max(lo - k * n, 0), min(hi - k * n, n)
+                if a < b:
+                    uses.append((p, a, b, first[c], second[d] if d >= 0 else None, k))
+                    cuts |= {(p, x) for x in (a, b) if 0 < x < n}
+    ids = spark.createDataFrame([(p, (list(own), list(kind))) for p, (own, kind, _) in enumerate(seen)], "pattern int, names struct<sources:array<string>,kinds:array<string>>")
+    at = thresholds(spark, narrow.join(F.broadcast(ids), "names").select("pattern", "h", "tokens"), sorted(cuts))
+    rows: list[list[tuple]] = [[] for _ in seen]
+    for p, a, b, c, d, k in uses:
+        lo, hi = at.get((p, a), BOTTOM), at.get((p, b), -BOTTOM)
+        if lo < hi:
+            rows[p].append((lo, hi - 1, c, d, k))
+    table = spark.createDataFrame([((list(own), list(kind)), r) for (own, kind, _), r in zip(seen, rows) if r], "names struct<sources:array<string>,kinds:array<string>>, uses array<struct<lo long, hi long, source string, kind string, epoch int>>")
+    return narrow, table
+
+
+def chosen(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (with names and h), once for each use; the table is bounded by MOST_PATTERNS."""
+    joined = rows.join(F.broadcast(table), "names")
+    return joined.withColumn("use", F.explode(F.filter("uses", lambda u: (u["lo"] <= F.col("h")) & (F.col("h") <= u["hi"]))))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, float] | None = None, kind_targets: dict[str, float] | None = None, budget: float = 1.0, epochs: int = 4, seed: int = 42, sources: Column | None = None, kinds: Column | None = None, path: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, source, kind, epoch, tokens) of the chosen documents, a row for each use;
+    epoch is 0 for the first, source and kind are those it is used for.
+
+    sources and kinds are arrays of names a document belongs to, by default its source and
+    its language (repeats count once; a null name in the array doesn't count; pass sources
+    alone for one layer). targets and kind_targets map names to weights, by default their
+    tokens ** 0.5 each. Tokens are counted by the BPE of `path`; budget times the corpus's
+    tokens is the sum of the quotas on either layer. A quota beyond `epochs` times what its
+    documents have isn't met in full. The tokens chosen for a stretch of the flow differ
+    from it by less than the documents at its ends.
+
+    Documents of no source or kind, or with a null or empty text, are not chosen. A very
+    long text is one document, never cut. A null doc_id is hashed like any value; rows that
+    repeat doc_id and text share their fate. Other columns are not read. An empty table
+    gives no rows.
+    """
+    sources, kinds = (source_names(), kind_names()) if sources is None else (sources, kinds)
+    narrow, table = planned(spark, docs, targets, kind_targets, budget, epochs, seed, sources, kinds, path)
+    return chosen(narrow, table).select("doc_id", F.col("use.source").alias("source"), F.col("use.kind").alias("kind"), F.col("use.epoch").alias("epoch"), "tokens")
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, float] | None = None, kind_targets: dict[str, float] | None = None, budget: float = 1.0, epochs: int = 4, seed: int = 42, sources: Column | None = None, kinds: Column | None = None, path: str = bpe.VOCABULARY) -> DataFrame:
+    """The chosen documents with the columns of docs alone, once for each use; see mixed.
+    The texts are read twice, to count tokens and to be chosen, and not shuffled."""
+    sources, kinds = (source_names(), kind_names()) if sources is None else (sources, kinds)
+    _, table = planned(spark, docs, targets, kind_targets, budget, epochs, seed, sources, kinds, path)
+    pattern, h, usable = named(sources, kinds, seed)
+    rows = docs.where(usable).select(F.struct("*").alias("weft_row"), pattern.alias("names"), h.alias("h"))
+    return chosen(rows, table).select("weft_row.*")

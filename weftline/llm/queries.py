@@ -49,8 +49,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.mixed(spark, documents(spark, sf_dir))
-    return chosen.select(F.col("weft_row.doc_id").alias("doc_id"), "component", "epoch", "tokens")
+    return mixing.mixed(spark, documents(spark, sf_dir))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
