@@ -77,6 +77,34 @@ def counted(docs):
     return [(r, b - a) for r, a, b in zip(rows, at.tolist(), at[1:].tolist())]
 
 
+def plainly_mixed(rows):
+    """The uses, (doc_id, source, epoch), of [(doc_id, source, lang, tokens, hash)] without equal hashes, by plain loops."""
+    names = [sorted({f"source:{r[1]}" for r in rows}), sorted({f"lang:{r[2]}" for r in rows})]
+    per = [{x: sum(r[3] for r in rows if key(r) == x) for x in layer} for layer, key in zip(names, (lambda r: f"source:{r[1]}", lambda r: f"lang:{r[2]}"))]
+    quota = [mixing.quotas(layer, None, sum(r[3] for r in rows)) for layer in per]
+    keys = sorted({(f"source:{r[1]}", f"lang:{r[2]}") for r in rows})
+    own = {k: sorted((r for r in rows if (f"source:{r[1]}", f"lang:{r[2]}") == k), key=lambda r: r[4]) for k in keys}
+    flow, _, _ = mixing.min_cost_flow([sum(r[3] for r in own[k]) for k in keys], [[names[0].index(k[0])] for k in keys], [quota[0][x] for x in names[0]], 4, [[names[1].index(k[1])] for k in keys], [quota[1][x] for x in names[1]])
+    uses = []
+    for k, f in zip(keys, flow):
+        at = 0
+        for epoch in range(4):
+            for r in own[k]:
+                if at < sum(f.values()):
+                    uses.append((r[0], k[0], epoch))
+                at += r[3]
+    return sorted(uses)
+
+
+@needs_vocabulary
+def test_against_plain_loops(spark):
+    d = docs(spark).where("doc_id <> 7 and source is not null and lang is not null")
+    h = d.select("doc_id", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).collect()
+    h = {r["doc_id"]: r["h"] for r in h}
+    want = plainly_mixed([(r["doc_id"], r["source"], r["lang"], n, h[r["doc_id"]]) for r, n in counted(d)])
+    assert sorted((r["doc_id"], r["source"], r["epoch"]) for r in mixing.mixed(spark, d).collect()) == want
+
+
 @needs_vocabulary
 def test_selection_meets_the_quotas(spark):
     d = docs(spark)
