@@ -57,6 +57,59 @@ def test_spans(spark, engine, seed):
     assert got == brute(rows, LEAST)
 
 
+@pytest.mark.parametrize("engine", [lempelziv.long_factors, runindex.long_matches], ids=["rlz", "rlbwt"])
+def test_crowded_anchors(spark, engine):
+    """With hot = 1 every anchor of differing surroundings is settled window by window."""
+    rows = corpus(3)
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, repeats.repeated_spans(spark, df, engine, LEAST, hot=1).collect()))
+    assert got == brute(rows, LEAST)
+
+
+def thue_morse(n, a, b, sep=""):
+    return sep.join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+
+@pytest.mark.parametrize("engine", [lempelziv, runindex], ids=["rlz", "rlbwt"])
+def test_what_only_hashes_alike_is_told_apart(spark, engine, monkeypatch):
+    """Complementary Thue-Morse sequences, of letters in a word and of words in a text, have
+    equal polynomial hashes modulo 2**64 for every base."""
+    before, after = " ".join(f"l{i}" for i in range(20)), " ".join(f"r{i}" for i in range(19))
+    one, other = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    rows = [(1, f"{before} {one} {after}"), (2, f"{before} {other} {after}"), (3, f"p {thue_morse(4096, 'a', 'b', ' ')} q"), (4, f"p {thue_morse(4096, 'b', 'a', ' ')} q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    least = 30
+    got = sorted(map(tuple, engine.duplicate_spans(spark, df, least).collect()))
+    assert got == brute(rows, least) and {r[0] for r in got} == {3, 4}
+
+
+def test_words_of_equal_key_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from weftline.llm import textarrays
+
+    real = textarrays.content_keys
+    monkeypatch.setattr(textarrays, "content_keys", lambda d, s, e: np.where(e - s > 7, textarrays.LONG, real(d, s, e)))
+    texts = [b"abcdefgh x ijklmnop x", b"ijklmnop x abcdefgh x"]
+    block = repeats.Block(np.arange(2), np.zeros(2, np.int64), np.zeros(2, np.int64), pa.array(texts, pa.binary()))
+    seq = block.tokens.tolist()
+    assert seq[0] == seq[7] != seq[2] == seq[5] and len(set(seq)) == 5
+
+
+def test_common_prefixes_are_compared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [b"a b c d e f", b"a b c x e f", b"a b"]
+    block = repeats.Block(np.arange(3), np.zeros(3, np.int64), np.zeros(3, np.int64), pa.array(texts, pa.binary()))
+    nothing = np.zeros(len(block.tokens) + 1, np.uint64)  # every hash equal
+    a, b = np.array([0, 0, 2, 4, 1]), np.array([7, 14, 9, 11, 7])
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(repeats, "COMPARED", size)
+        assert block.common(nothing, a, b).tolist() == [3, 2, 1, 2, 0] and block.common(nothing, a, b, 1).tolist() == [1, 1, 1, 1, 0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lempelziv.duplicate_spans(spark, df).count() == 0 and runindex.duplicate_spans(spark, df).count() == 0

@@ -44,9 +44,11 @@ def long_factors(block: Block, least: int) -> tuple[np.ndarray, np.ndarray]:
     sa, rank = block.suffixes()
     sums = block.sums()
 
-    def longest(at: np.ndarray) -> np.ndarray:
-        r = rank[at]
-        return np.maximum(np.where(r > 0, block.common(sums, at, sa[np.maximum(r - 1, 0)]), 0), np.where(r + 1 < len(sa), block.common(sums, at, sa[np.minimum(r + 1, len(sa) - 1)]), 0))
+    def longest(at: np.ndarray, most: int | None = None) -> np.ndarray:
+        r, out = rank[at], np.zeros(len(at), np.int64)
+        for there, beside in ((r > 0, r - 1), (r + 1 < len(sa), r + 1)):
+            out[there] = np.maximum(out[there], block.common(sums, at[there], sa[beside[there]], most))
+        return out
 
     place, length = parsed(block, longest)
     long = length >= least
@@ -54,7 +56,8 @@ def long_factors(block: Block, least: int) -> tuple[np.ndarray, np.ndarray]:
     i, j, far = place[:-1][joint], place[1:][joint], (place[1:] + length[1:])[joint]
     lo, hi = np.maximum(i + 1, j - least + 1), np.minimum(j, far - least + 1)
     tries = ranges(lo, np.maximum(0, hi - lo))
-    n = longest(tries)
+    # Beyond twice `least` words a match that straddles the boundary lies in the second factor.
+    n = longest(tries, 2 * least)
     good = n >= least
     return np.concatenate([place[long], tries[good]]), np.concatenate([length[long], n[good]])
 

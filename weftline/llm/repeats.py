@@ -2,11 +2,13 @@
 
 Every window of `least` words has an anchor: the leftmost of its 16-word shingles with the
 least hash. Equal windows have equal anchors, so a window whose anchor occurs nowhere else
-can't be repeated; only anchors that occur again send their surroundings (the union of
-their windows) on to the partition of their hash. There an index over all texts of that
-partition (an RLZ reference block, or a run-length BWT) finds the matches, exactly and over
-every document. The anchors of unrepeated text, which is most text, are all that is
-shuffled of it.
+can't be repeated. The union of the windows of a run with one anchor is a body. Equal bodies
+are repeated from end to end, so copies, however many, are settled by two sums over hashes
+and one body stands for all. Where an anchor has differing bodies, one of each kind goes to
+the partition of its hash, where an index over all texts of that partition (an RLZ
+reference block, or a run-length BWT) finds the matches, exactly and over every document.
+An anchor with too many differing bodies for a task has its windows compared one by one
+instead. The anchors of unrepeated text, which is most text, are all that is shuffled of it.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.plumbing import by_key, kept, numbers, shards
-from weftline.llm.textarrays import BYTE_CODES, POWERS, U64, mix, pieces, prefix_sums, ranges, span_hash, text_buffers, window_argmin, word_hashes, words
+from weftline.llm.plumbing import by_key, kept, numbers, shards, small_batches
+from weftline.llm.textarrays import POWERS, U64, first_equals, mix, pieces, prefix_sums, ranges, span_hash, text_buffers, window_argmin, word_hashes, words
 
 SHINGLE = 16
 GROUP_ROWS = 8192
+COMPARED = 1 << 20
+HOT = 50_000  # differing bodies of an anchor; beyond, its windows are compared one by one
 
 
 def anchor_runs(hashes: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -48,36 +52,74 @@ def anchor_runs(hashes: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.nd
     return row[first], value[first].view(np.int64), local[first], local[last], 1 + (place[first] != place[last])
 
 
+def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each range of word hashes, each word mixed with its place in the range."""
+    owner = np.repeat(np.arange(len(starts)), counts)
+    first = np.cumsum(counts) - counts
+    nth = np.arange(len(owner)) - first[owner]
+    return np.add.reduceat(mix(hashes[starts[owner] + nth] + mix(nth.astype(U64) + U64(1))), first) if len(owner) else np.zeros(0, U64)
+
+
+def places_of(doc: np.ndarray, row: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """One number for a word of a text."""
+    return mix(mix(doc.view(U64) + U64(1)) ^ mix(row.view(U64)) + s.astype(U64)).view(np.int64)
+
+
 def anchors(least: int):
+    """(h, b, place, doc_id, row, s, e, places) of the runs of windows of each text; b is a hash
+    of the run's words, from the first word of its first window to the last of its last."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
             starts, ends, at = words(data, offsets)
-            row, h, s, e, m = anchor_runs(word_hashes(data, starts, ends), at, least)
+            hashes = word_hashes(data, starts, ends)
+            row, h, s, e, m = anchor_runs(hashes, at, least)
             if len(row):
-                ids = numbers(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row]), *(pa.array(x.astype(np.int32)) for x in (s, e, m))], ["h", "doc_id", "s", "e", "places"])
+                doc, digest = numbers(batch.column(0))[row], numbers(batch.column(2))[row]
+                body = sequence_hashes(hashes, at[row] + s, e - s + least).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(body), pa.array(places_of(doc, digest, s)), pa.array(doc), pa.array(digest), *(pa.array(x.astype(np.int32)) for x in (s, e, m))], ["h", "b", "place", "doc_id", "row", "s", "e", "places"])
 
     return rows
 
 
+def run_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row of the batch, h, s, e) of the runs listed in its last column."""
+    runs = batch.column(3)
+    flat = runs.flatten()
+    h, s, e = (numbers(flat.field(k)) for k in range(3))
+    return np.repeat(np.arange(batch.num_rows), np.diff(numbers(runs.offsets))), h, s.astype(np.int64), e.astype(np.int64)
+
+
 def surroundings(least: int):
-    """The texts around the repeated anchors of each document: (h, doc_id, row, s, body);
-    body is the words from s on."""
+    """The texts of the listed runs of each document: (h, doc_id, row, s, body); body is the
+    words from s on."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
             starts, ends, at = words(data, offsets)
-            whole = span_hash(prefix_sums(BYTE_CODES[data]), offsets[:-1], offsets[1:]).view(np.int64)
-            ids = numbers(batch.column(0))
-            runs = batch.column(2)
-            flat = runs.flatten()
-            h, s, e = (numbers(flat.field(k)) for k in range(3))
-            row = np.repeat(np.arange(len(ids)), np.diff(numbers(runs.offsets)))
-            fits = e + least <= np.diff(at)[row]  # rows that share a doc_id share its anchors
-            h, s, e, row = h[fits], s[fits].astype(np.int64), e[fits], row[fits]
+            row, h, s, e = run_columns(batch)
             lo, hi = starts[at[row] + s], ends[at[row] + e + least - 1]
             cells = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32).tobytes()), pa.py_buffer(data[ranges(lo, hi - lo)].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row]), pa.array(whole[row]), pa.array(s.astype(np.int32)), cells], ["h", "doc_id", "row", "s", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(numbers(batch.column(0))[row]), pa.array(numbers(batch.column(2))[row]), pa.array(s.astype(np.int32)), cells], ["h", "doc_id", "row", "s", "body"])
+
+    return rows
+
+
+def single_windows(least: int):
+    """(h, b, place, doc_id, row, s) of every window of the listed runs; b hashes its words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(batches, "text", 1 << 18):
+            starts, ends, at = words(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            row, h, s, e = run_columns(batch)
+            n = e - s + 1
+            row, h, s = np.repeat(row, n), np.repeat(h, n), ranges(s, n)
+            for lo in range(0, len(h), 1 << 13):
+                r, w = row[lo : lo + (1 << 13)], s[lo : lo + (1 << 13)]
+                doc, digest = numbers(batch.column(0))[r], numbers(batch.column(2))[r]
+                body = sequence_hashes(hashes, at[r] + w, np.full(len(r), least)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + (1 << 13)]), pa.array(body), pa.array(places_of(doc, digest, w)), pa.array(doc), pa.array(digest), pa.array(w.astype(np.int32))], ["h", "b", "place", "doc_id", "row", "s"])
 
     return rows
 
@@ -90,7 +132,7 @@ class Block:
     def __init__(self, doc: np.ndarray, row: np.ndarray, s: np.ndarray, bodies: pa.Array):
         data, offsets = text_buffers(bodies)
         starts, ends, at = words(data, offsets)
-        h, n = word_hashes(data, starts, ends), np.diff(at)
+        n = np.diff(at)
         order = np.lexsort((s, row, doc))
         d, r, b, e = doc[order], row[order], s[order], s[order] + n[order]
         head = np.ones(len(order), bool)
@@ -107,7 +149,7 @@ class Block:
         sizes = np.bincount(text, weights=own).astype(np.int64) if len(text) else np.zeros(0, np.int64)
         self.doc, self.row, self.first = d[fresh], r[fresh], b[fresh]
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # of texts in the sequence
-        values, ids = np.unique(h[src], return_inverse=True)
+        values, _, ids = first_equals(data, starts[src], ends[src])
         self.tokens = np.empty(self.starts[-1], np.int64)
         gaps = self.starts[1:] - 1
         inside = np.ones(len(self.tokens), bool)
@@ -145,18 +187,33 @@ class Block:
     def sums(self) -> np.ndarray:
         return prefix_sums(mix(self.tokens.astype(U64) + U64(1)))
 
-    def common(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at a and at b."""
+    def common(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a and at b, but `most` at
+        most: found by hashes, which can only say too much, and then compared word by word.
+        The caller sees to it that the sum of the lengths is small."""
         _, down = POWERS.upto(len(sums))
-        most = np.minimum(self.ends[a] - a, self.ends[b] - b)
-        lo, hi = np.zeros(len(a), np.int64), most
+        lo, hi = np.zeros(len(a), np.int64), np.minimum(self.ends[a] - a, self.ends[b] - b)
+        if most is not None:
+            hi = np.minimum(hi, most)
         while True:
             open_ = lo < hi
             if not open_.any():
-                return lo
+                break
             mid = (lo + hi + 1) >> 1
             same = (sums[a + mid] - sums[a]) * down[a] == (sums[b + mid] - sums[b]) * down[b]
             lo, hi = np.where(same, mid, lo), np.where(same | ~open_, hi, mid - 1)
+        some = np.flatnonzero(lo)
+        upto = np.cumsum(lo[some])
+        for i in range(0, int(upto[-1]) if len(some) else 0, COMPARED):  # a stretch of words at a time
+            part = some[np.searchsorted(upto, i, "right") : np.searchsorted(upto, i + COMPARED, "right")]
+            if len(part):
+                n = lo[part]
+                differ = self.tokens[ranges(a[part], n)] != self.tokens[ranges(b[part], n)]
+                if differ.any():
+                    first = np.cumsum(n) - n
+                    nth = np.arange(len(differ)) - np.repeat(first, n)
+                    lo[part] = np.minimum.reduceat(np.where(differ, nth, np.repeat(n, n)), first)
+        return lo
 
     def spans(self, at: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
         """doc, row, first word and end of the union of the ranges [at, at + length)."""
@@ -187,29 +244,58 @@ def matched(engine: Engine, least: int):
     return rows
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, engine: Engine, least: int = 50) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, engine: Engine, least: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the maximal ranges of words of each document
     that are covered by runs of `least` words or more that occur at another place, in the
     same or another document. Words are counted from 0, the end is exclusive.
 
-    Words are the runs between ASCII white space, compared byte for byte. Rows with a null
-    doc_id or text, and texts of fewer than `least` words, have no spans. Identical rows
+    Words are the runs between ASCII white space. Bodies are equal if two 64-bit hashes are,
+    of the anchor and of all words with their places; within a block words are compared
+    byte for byte. Rows with a null doc_id or text, and texts of fewer than `least` words, have no spans. Identical rows
     count once; differing texts under one doc_id are texts of their own whose spans all
-    carry that doc_id. Other columns are not read; an empty table gives no rows.
+    carry that doc_id. A very long text is one text, never cut. Other columns are not read;
+    an empty table gives no rows.
     """
     if least < SHINGLE + 1:
         raise ValueError(f"least must be over {SHINGLE} words")
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(anchors(least), "h long, doc_id long, s int, e int, places int")
-    again = found.withColumn("n", F.sum("places").over(Window.partitionBy("h"))).where("n > 1")
-    runs = kept(spark, again.groupBy("doc_id").agg(F.collect_list(F.struct("h", "s", "e")).alias("runs")), "anchors")
-    around = texts.join(runs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "runs").mapInArrow(surroundings(least), "h long, doc_id long, row long, s int, body binary")
-    n_runs = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
-    pieces_ = around.repartition(shards(spark, n_runs, 1 << 17), "h").sortWithinPartitions("h").mapInArrow(matched(engine, least), "doc_id long, row long, s long, e long")
+    small_batches(spark)
+    text = F.col("text").cast("string")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    found = kept(spark, texts.mapInArrow(anchors(least), "h long, b long, place long, doc_id long, row long, s int, e int, places int"), "anchors")
+    # An anchor at one place only is of no further use. Both sums combine on the map side; the
+    # joins back are by keys that adaptive execution splits where they are skewed.
+    per = found.groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.max("places").alias("m")).where("p0 <> p1 or m > 1")
+    again = kept(spark, found.join(per.select("h", F.expr("b0 <> b1").alias("mixed")), "h").dropDuplicates(["h", "place"]), "repeated-anchors")
+    bodies = again.groupBy("h", "b").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    # Equal bodies are repeated from end to end; one of them stands for all where others share the anchor.
+    again = kept(spark, again.join(bodies, ["h", "b"]), "bodies")
+    whole = again.where("lo <> hi").select("doc_id", "row", F.col("s").cast("long").alias("s"), (F.col("e") + least).cast("long").alias("e"))
+    rest = again.where("place = lo and (mixed or (lo = hi and places > 1))").select("h", "doc_id", "row", "s", "e")
+    crowds = kept(spark, rest.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot-anchors")
+    spans = whole
+    if not crowds.isEmpty():
+        spans = spans.unionByName(by_windows(spark, texts, rest.join(crowds, "h", "left_semi"), least))
+        rest = rest.join(crowds, "h", "left_anti")
+    around = with_runs(texts, rest).mapInArrow(surroundings(least), "h long, doc_id long, row long, s int, body binary")
+    spans = spans.unionByName(around.repartition(shards(spark, rest.count(), 1 << 17), "h").sortWithinPartitions("h").mapInArrow(matched(engine, least), "doc_id long, row long, s long, e long"))
     by_start = Window.partitionBy("doc_id", "row").orderBy("s", "e")
-    marked = pieces_.withColumn("reach", F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = marked.groupBy("doc_id", "row", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    marked = spans.withColumn("reach", F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    found = marked.groupBy("doc_id", "row", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
+    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, text, row, runs) of the texts that have runs; identical rows are one."""
+    own = runs.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "s", "e")).alias("runs"))
+    return texts.join(own, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "text", "row", "runs")
+
+
+def by_windows(spark: SparkSession, texts: DataFrame, runs: DataFrame, least: int) -> DataFrame:
+    """The repeated windows of runs whose anchor has so many differing surroundings that no
+    task should hold them: each window is a row, and equal ones are found by their hash."""
+    windows = kept(spark, with_runs(texts, runs).mapInArrow(single_windows(least), "h long, b long, place long, doc_id long, row long, s int"), "windows")
+    twice = windows.groupBy("h", "b").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select("h", "b")
+    return windows.join(twice, ["h", "b"], "left_semi").select("doc_id", "row", F.col("s").cast("long").alias("s"), (F.col("s") + least).cast("long").alias("e"))
 
 
 SQL = """
