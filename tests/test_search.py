@@ -31,10 +31,23 @@ def test_containment_and_metrics(spark):
     spans = spark.createDataFrame([("f", "CAT"), ("f", "none"), ("g", "cat")], "k string, span string")
     chunks = spark.createDataFrame([("f", 3, "a cat"), ("f", 1, "Cats"), ("g", 7, "dog")], "k string, i int, chunk string")
     assert {tuple(r) for r in search.first_containing(spans, chunks, "span", "chunk", "i", ["k"]).collect()} == {("f", "CAT", 1), ("f", "none", None), ("g", "cat", None)}
+    odd = spark.createDataFrame([(None, 1, "abc"), ("f", 2, None), (None, None, "xyz"), (None, 5, "xbcz"), ("f", 9, "BC")], "k string, i int, chunk string")
+    asked = spark.createDataFrame([("f", "bc"), ("f", "bc"), (None, "BC"), (None, ""), (None, None), (None, "xyz"), ("f", "c")], "k string, span string")
+    for most in (1 << 22, 1):
+        assert {tuple(r) for r in search.first_containing(asked, odd, "span", "chunk", "i", ["k"], most).collect()} == {("f", "bc", 9), (None, "BC", 1), (None, "", 1), (None, None, None), (None, "xyz", None), ("f", "c", 9)}
+        assert sorted((r["first_index"] or -1) for r in search.first_containing(asked.select("span"), odd, "span", "chunk", "i", most=most).collect()) == [-1, -1, 1, 1, 1, 1]
+    plan = search.first_containing(asked, odd, "span", "chunk", "i")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert search.first_containing(asked.limit(0), odd, "span", "chunk", "i").count() == 0 and search.first_containing(asked, odd.limit(0), "span", "chunk", "i").where("first_index is not null").count() == 0
     m = search.rank_metrics(spark.createDataFrame([(1,), (3,), (None,)], "rank int")).first()
     assert (m["queries"], m["mrr"], m["hit_1"], m["hit_5"], m["misses"]) == (3, round((1 + 0.3333) / 3, 4), 1, 2, 1)
 
 
+def test_bm25_gives_rows_with_a_word_of_the_query(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "b b c"), (3, "c"), (4, None), (5, "")], "id int, text string")
+    assert {r["id"] for r in search.bm25(spark, df, "B a b").collect()} == {1, 2} and search.bm25(spark, df, "").count() == 0
+
+
 def test_hybrid(spark):
     df = spark.createDataFrame([(1, "a b", [1.0, 0.0]), (2, "b b c", [0.0, 1.0]), (3, "c", [1.0, 1.0])], "id int, text string, embedding array<float>")
     assert [r["id"] for r in search.hybrid(spark, df, "b", [1.0, 0.0], alpha=1.0).collect()] == [1, 3, 2]

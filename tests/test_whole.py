@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weftline.operators import search
@@ -75,3 +76,5 @@ def test_every_vector_is_a_query(spark, block):
         want[i] = next((k for k, (_, _, other) in enumerate(order, 1) if label is not None and other == label), None)
     df = spark.createDataFrame(rows, "id long, vector array<double>, label long")
     assert {r["query_id"]: r["rank"] for r in search.match_ranks(df, block).collect()} == want
+    some = {r["query_id"]: r["rank"] for r in search.match_ranks(df, block, F.col("id") % 10 == 0).collect()}
+    assert some == {i: r for i, r in want.items() if i % 10 == 0}

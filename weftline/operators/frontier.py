@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text, urls
+from weftline.sources.tables import dropped, kept
 
 
 def locale_counts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -90,32 +93,29 @@ def seeds(df: DataFrame, base: str, include: tuple[str, ...] = (), exclude: tupl
     return own.where(~urls.path_excluded(F.col("url"), include, exclude, (base,), i18n)).distinct()
 
 
-def reached(spark, start: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(url, depth) of all that breadth-first link following from start finds. Each round
-    joins only the last layer with the edges, and is written to the shared folder, which
-    cuts the lineage."""
-    from weftline.sources.tables import kept
-
-    layer = kept(spark, start.select("url").distinct().withColumn("depth", F.lit(0)), "layer")
-    done = [layer]
-    for depth in range(1, rounds + 1):
-        seen = done[0]
-        for d in done[1:]:
-            seen = seen.unionByName(d)
+def reached(spark, start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(url, depth) of all that breadth-first link following from start finds, to the last
+    layer. Each round joins only the last layer with the edges, and is written to the shared
+    folder, which cuts the lineage. Layers are merged by sixteens, so that no round reads
+    more than some dozen tables and a page is rewritten a logarithmic number of times."""
+    layer = kept(spark, start.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "layer")
+    done: list[list[DataFrame]] = [[layer]]  # tables of one layer, of sixteen, of 256, ...
+    together = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    depth = 0
+    while not layer.isEmpty():
+        depth += 1
+        seen = together([t for level in done for t in level])
         nxt = layer.join(edges, layer["url"] == edges["src"]).select(F.col("dst").alias("url")).where("url is not null").distinct()
         layer = kept(spark, nxt.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "layer")
-        if layer.isEmpty():
-            break
-        done.append(layer)
-        if len(done) > 16:
-            whole = done[0]
-            for d in done[1:]:
-                whole = whole.unionByName(d)
-            done = [kept(spark, whole, "reached")]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        done[0].append(layer)
+        for k in range(len(done)):
+            if len(done[k]) > 16:  # the last layer stays, it is joined next
+                whole = kept(spark, together(done[k][:16]), "layers")
+                dropped(spark, *done[k][:16])
+                done[k] = done[k][16:]
+                done += [[]] if k + 1 == len(done) else []
+                done[k + 1].append(whole)
+    return together([t for level in done for t in level])
 
 
 def site_directories(df: DataFrame, url: str = "seed") -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.functions import text
+from weftline.sources.tables import kept
 
 
 def keyword_hits(df: DataFrame, query: str) -> DataFrame:
@@ -59,20 +65,70 @@ def ranked(pairs: DataFrame, query: str, similarity: str, order: str) -> DataFra
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(similarity), order)))
 
 
-def first_containing(spans: DataFrame, chunks: DataFrame, span: str, chunk: str, index: str, on: list[str] | None = None) -> DataFrame:
+def blocks_of_spans(spans: DataFrame, most: int) -> Iterator[dict[str, set[str]]]:
+    """{span: keys} of spans (weft_span, weft_key) in blocks of about `most` characters."""
+    block, size = {}, 0
+    for r in spans.toLocalIterator():
+        block.setdefault(r["weft_span"], set()).add(r["weft_key"])
+        size += len(r["weft_span"])
+        if size > most:
+            yield block
+            block, size = {}, 0
+    if block:
+        yield block
+
+
+def contained(block: dict[str, set[str]], kind: pa.DataType):
+    """A pass over (text, key, index) that gives (span, key, least index) of the spans of the
+    block found in the texts, a row at most for each in a task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for span in block:
+            if span:
+                known.add_word(span, span)
+        known.make_automaton()
+        least: dict[tuple[str, str], object] = {}
+        for batch in batches:
+            index = batch.column(2).to_pylist()
+            for text_, key, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), index):
+                here = {span for _, span in known.iter(text_)} if len(known) else set()
+                for span in here | {""} if "" in block else here:
+                    if key in block[span] and ((span, key) not in least or i < least[span, key]):
+                        least[span, key] = i
+        cells = list(least.items())
+        yield pa.RecordBatch.from_arrays([pa.array([s for (s, _), _ in cells], pa.string()), pa.array([k for (_, k), _ in cells], pa.string()), pa.array([i for _, i in cells], kind)], ["weft_span", "weft_key", "first_index"])
+
+    return rows
+
+
+def first_containing(spans: DataFrame, chunks: DataFrame, span: str, chunk: str, index: str, on: list[str] | None = None, most: int = 1 << 22) -> DataFrame:
     """For each span the least index of a chunk that contains it, case apart; spans found
-    nowhere have a null one. With `on`, both must agree on those columns."""
-    inside = F.contains(F.lower(chunks[chunk]), F.lower(spans[span]))
-    for c in on or []:
-        inside = inside & spans[c].eqNullSafe(chunks[c])
-    keys = [spans[c] for c in spans.columns]
-    return spans.join(chunks, inside, "left").groupBy(*keys).agg(F.min(chunks[index]).alias("first_index"))
-
-
-def match_ranks(df: DataFrame, block: int = 8192) -> DataFrame:
-    """(query_id, query_label, rank) of every vector of (id, vector, label) as a query: the place
-    of the nearest other vector with its label, by cosine to 6 places, then id; null without
-    one. Pairs of blocks of about that many vectors are multiplied as matrices twice: for the
+    nowhere, and null ones, have a null one. With `on`, both must agree on those columns,
+    nulls included. Chunks without a text or an index don't count.
+
+    The spans are the query set: in blocks of `most` characters they become an automaton
+    (Aho-Corasick) that finds all of them in one pass over the chunks, so nothing is joined
+    but the hits, a row for each span and task."""
+    key = F.coalesce(F.to_json(F.struct(*on)), F.lit("")) if on else F.lit("")
+    asked = spans.where(F.col(span).isNotNull()).select(F.lower(span).alias("weft_span"), key.alias("weft_key")).distinct()
+    given = chunks.where(F.col(chunk).isNotNull() & F.col(index).isNotNull()).select(F.lower(chunk).alias("weft_text"), key.alias("weft_key"), F.col(index).alias("first_index"))
+    kind = given.schema["first_index"].dataType
+    schema = f"weft_span string, weft_key string, first_index {kind.simpleString()}"
+    found = [given.mapInArrow(contained(b, to_arrow_type(kind)), schema) for b in blocks_of_spans(asked, most)]
+    if not found:
+        return spans.distinct().withColumn("first_index", F.lit(None).cast(kind))
+    hits = reduce(DataFrame.unionByName, found).groupBy("weft_span", "weft_key").agg(F.min("first_index").alias("first_index"))
+    own = spans.distinct().withColumns({"weft_lower": F.lower(span), "weft_own": key})
+    return own.join(hits, (own["weft_lower"] == hits["weft_span"]) & (own["weft_own"] == hits["weft_key"]), "left").select(*(own[c] for c in spans.columns), "first_index")
+
+
+def match_ranks(df: DataFrame, block: int = 8192, chosen: Column | None = None) -> DataFrame:
+    """(query_id, query_label, rank) of every vector of (id, vector, label) as a query, or of
+    those that `chosen` says, against all: the place of the nearest other vector with its
+    label, by cosine to 6 places, then id; null without one. Pairs of blocks of about that many vectors are multiplied as matrices twice: for the
     nearest match, then to count what is nearer. A vector without length is behind all others."""
     n = max(1, -(-df.count() // block))
     own = df.select("id", "label", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
@@ -114,7 +170,7 @@ def match_ranks(df: DataFrame, block: int = 8192) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "n"])
 
     def paired(queries, run, schema):
-        left = queries.select("*", cast.alias("x"), other.alias("y")).groupBy("x", "y")
+        left = (queries if chosen is None else queries.where(chosen)).select("*", cast.alias("x"), other.alias("y")).groupBy("x", "y")
         again = own.select(*(F.col(k).alias(k) for k in own.columns))  # else the two sides share their columns' ids
         right = again.select("*", cast.alias("y"), other.alias("x")).groupBy("x", "y")
         return left.cogroup(right).applyInPandas(run, schema)
@@ -122,7 +178,8 @@ def match_ranks(df: DataFrame, block: int = 8192) -> DataFrame:
     first = paired(own, best, f"id {kind}, s double, i {kind}").groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), "i")).alias("m"))
     asked = own.join(first.select("id", (-F.col("m.s")).alias("s"), F.col("m.i").alias("i")), "id")
     counts = paired(asked, before, f"id {kind}, n long").groupBy("id").agg((F.sum("n") + 1).alias("rank"))
-    return own.select("id", "label").join(counts, "id", "left").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "rank")
+    queries = own if chosen is None else own.where(chosen)
+    return queries.select("id", "label").join(counts, "id", "left").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "rank")
 
 
 def rank_metrics(df: DataFrame, rank: str = "rank", by: str | None = None) -> DataFrame:
@@ -139,6 +196,7 @@ def spread_sample(df: DataFrame, k: int, source: str = "_source", order: str = "
     n = df.select(source).distinct().count()
     share = max(1, k // max(n, 1))
     own = df.withColumn("weft_n", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    own = own.where(F.col("weft_n") <= k)  # no later row can be among k; tasks cut their part of a source before the shuffle
     late = F.when(F.col("weft_n") > share, 1).otherwise(0)
     return own.orderBy(late, source if n > 1 else order, order).limit(k).drop("weft_n") if n > 1 else df.orderBy(order).limit(k)
 
@@ -150,23 +208,25 @@ def bm25(spark, chunks: DataFrame, query: str, key: str = "id", body: str = "tex
     asked: dict[str, int] = {}
     for w in query.lower().split():
         asked[w] = asked.get(w, 0) + 1
-    tokens = text.words(F.lower(F.col(body)))
-    times = lambda w: F.size(F.filter(tokens, lambda t: t == w))
-    counts = [times(F.lit(w)).alias(f"tf{i}") for i, w in enumerate(asked)]
-    rows = chunks.where(F.col(body).isNotNull()).select(key, F.size(tokens).alias("n"), *counts)
+    # The tokens are a column of their own, so that a row is split once for all words.
+    tokens = chunks.where(F.col(body).isNotNull()).select(key, text.words(F.lower(F.col(body))).alias("weft_tokens"))
+    times = lambda w: F.size(F.filter("weft_tokens", lambda t: t == F.lit(w)))
+    counts = [times(w).alias(f"tf{i}") for i, w in enumerate(asked)]
+    rows = kept(spark, tokens.select(key, F.size("weft_tokens").alias("n"), *counts), "bm25")
     stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
     score = F.lit(0.0)
     for i, weight in enumerate(asked.values()):
         idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean"))) * weight
-    return rows.crossJoin(F.broadcast(stats)).select(key, score.alias("bm25"))
+    some = F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(asked)))) > 0
+    return rows.where(some).crossJoin(F.broadcast(stats)).select(key, score.alias("bm25"))
 
 
 def hybrid(spark, chunks: DataFrame, query: str, vector: list[float], alpha: float = 0.7, most: int = 10, key: str = "id", body: str = "text", column: str = "embedding") -> DataFrame:
     """Blend of cosine and BM25, each spread over 0 to 1 (0 where all are equal)."""
     v = F.array(*(F.lit(float(x)) for x in vector))
     lexical = bm25(spark, chunks, query, key, body)
-    both = chunks.where(F.col(body).isNotNull()).select(key, F.coalesce(cosine(F.col(column), v), F.lit(0.0)).alias("cosine")).join(lexical, key)
+    both = chunks.where(F.col(body).isNotNull()).select(key, F.coalesce(cosine(F.col(column), v), F.lit(0.0)).alias("cosine")).join(lexical, key, "left").fillna(0.0, ["bm25"])
     edges = both.agg(*(f(c).alias(f"{n}_{c}") for c in ("cosine", "bm25") for n, f in (("lo", F.min), ("hi", F.max))))
     unit = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0)
     score = alpha * unit("cosine") + (1 - alpha) * unit("bm25")
