@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources.tables import kept, shared_dir
+from weftline.sources.tables import dropped, kept, shared_dir
 
 
-__all__ = ["by_key", "columns_of", "connected_components", "kept", "numbers", "shards", "shared_dir", "small_batches"]
+__all__ = ["by_key", "columns_of", "connected_components", "dropped", "kept", "numbers", "shards", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -64,7 +64,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, name: str = "com
     """(node, component) of the undirected graph with edges (a, b): the component is its
     least node. Alternates large-star and small-star steps, each written to the shared
     folder, until nothing changes; the number of rounds is logarithmic in practice.
-    Null ends and loops are ignored; an empty graph gives no rows.
+    Null ends and loops are ignored; an empty graph gives no rows. Two rounds give the same
+    edges if their numbers and the sums of their hashes are equal.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, last = kept(spark, edges, name), None
@@ -76,6 +77,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, name: str = "com
         small = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x")), F.struct(F.col("v").alias("x")))).alias("e"), "m")
         nxt = kept(spark, small.select(F.col("e.x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
         sign = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if sign == last:
+        dropped(spark, edges)
+        edges = nxt
+        if sign == last or not sign[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        edges, last = nxt, sign
+        last = sign

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.plumbing import by_key, kept, numbers, shards, small_batches
+from weftline.llm.plumbing import by_key, dropped, kept, numbers, shards, small_batches
 from weftline.llm.textarrays import POWERS, U64, first_equals, mix, pieces, prefix_sums, ranges, span_hash, text_buffers, window_argmin, word_hashes, words
 
 SHINGLE = 16
@@ -266,11 +266,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, engine: Engine, least:
     # joins back are by keys that adaptive execution splits where they are skewed.
     per = found.groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.max("places").alias("m")).where("p0 <> p1 or m > 1")
     again = kept(spark, found.join(per.select("h", F.expr("b0 <> b1").alias("mixed")), "h").dropDuplicates(["h", "place"]), "repeated-anchors")
+    dropped(spark, found)
     bodies = again.groupBy("h", "b").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
     # Equal bodies are repeated from end to end; one of them stands for all where others share the anchor.
-    again = kept(spark, again.join(bodies, ["h", "b"]), "bodies")
-    whole = again.where("lo <> hi").select("doc_id", "row", F.col("s").cast("long").alias("s"), (F.col("e") + least).cast("long").alias("e"))
-    rest = again.where("place = lo and (mixed or (lo = hi and places > 1))").select("h", "doc_id", "row", "s", "e")
+    settled = kept(spark, again.join(bodies, ["h", "b"]), "bodies")
+    dropped(spark, again)
+    whole = settled.where("lo <> hi").select("doc_id", "row", F.col("s").cast("long").alias("s"), (F.col("e") + least).cast("long").alias("e"))
+    rest = settled.where("place = lo and (mixed or (lo = hi and places > 1))").select("h", "doc_id", "row", "s", "e")
     crowds = kept(spark, rest.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot-anchors")
     spans = whole
     if not crowds.isEmpty():
