@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.functions import urls
-from weftline.operators.pages import ENTITIES
+# The SQL has its own constants, so that a wrong one in the code shows.
+LANGUAGES = "ar bg bn ca cs da de el en es et fa fi fr he hi hr hu id it ja ko lt lv ms nb nl no pl pt ro ru sk sl sr sv th tr uk vi zh".split()
+PRIMARY = ("en", "en-au", "en-ca", "en-gb", "en-us", "en_gb", "en_us")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 RE = "^(?:([A-Za-z][A-Za-z0-9+.\\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?"
 
@@ -36,7 +38,7 @@ def normalized(u: str) -> str:
 
 
 def dashed(t: str, most: int, default: str) -> str:
-    stub = f"trim(left(regexp_replace({t}, '{urls.UNSAFE}', '-', 'g'), {most}), '-')"
+    stub = f"trim(left(regexp_replace({t}, '[^0-9A-Za-z_.-]+', '-', 'g'), {most}), '-')"
     return f"CASE WHEN {stub} = '' THEN '{default}' ELSE {stub} END"
 
 
@@ -82,13 +84,13 @@ def locale(u: str) -> str:
 
     def at(i: int) -> str:
         low = f"lower(({s})[{i}])"
-        return f"CASE WHEN regexp_matches({low}, '{urls.LOCALE}') AND {language(low)} IN ({quoted(urls.LANGUAGES)}) AND NOT coalesce(regexp_matches(({s})[{i + 1}], '^[0-9]+$'), false) THEN {low} END"
+        return f"CASE WHEN regexp_matches({low}, '^[a-z]{{2}}([-_][a-z]{{2,4}})?$') AND {language(low)} IN ({quoted(LANGUAGES)}) AND NOT coalesce(regexp_matches(({s})[{i + 1}], '^[0-9]+$'), false) THEN {low} END"
 
     return f"coalesce({at(1)}, {at(2)})"
 
 
 def foreign(u: str) -> str:
-    return f"coalesce({locale(u)} NOT IN ({quoted(urls.PRIMARY)}) AND {language(locale(u))} <> 'en', false)"
+    return f"coalesce({locale(u)} NOT IN ({quoted(PRIMARY)}) AND {language(locale(u))} <> 'en', false)"
 
 
 def section(u: str) -> str:

@@ -257,7 +257,22 @@ BM25 = f"""WITH d AS (SELECT id, ws, len(ws) AS n FROM (SELECT id, {S.words('low
   SELECT id, {' + '.join(f'ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * n / mean))' for i in range(len(TERMS)))} AS bm25 FROM c, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(TERMS)))}"""
 PROBE = "[" + ", ".join(f"{(-1) ** i * (i % 7) / 7!r}::DOUBLE" for i in range(64)) + "]"
 GUARD = "SELECT lang AS fixture, round(avg(CASE WHEN w > 100 THEN 1.0::DOUBLE ELSE 0.5 END), 4) AS mrr, count(*) FILTER (w < 20) AS misses, count(*) FILTER (w < 60) AS nav_words, sum(w)::BIGINT AS total_ms, count(*) AS chunks FROM d {} GROUP BY lang"
-CLOSED = "regexp_matches(rtrim(ws[i], '\"''`)]}>'), '[.!?]$')".replace("`", "")
+# Paragraphs are joined while they fit in 60 words, those that are longer by themselves are split; what follows the first piece carries the heading.
+MARKDOWN_CHUNKS = f"""WITH RECURSIVE m AS (SELECT page_id, {S.title('html')} AS title, {web.MARKDOWN} AS text FROM pages),
+  p AS (SELECT page_id, title, {S.n_words('text')} AS all_words, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM m),
+  heads AS (SELECT *, list_position(list_transform(ps, lambda x: starts_with(x, '# ')), true) AS k FROM p),
+  cut AS (SELECT page_id, title, 1 AS part, ps[:k - 1] AS ps, '' AS head FROM heads WHERE all_words > 60 AND k > 1
+    UNION ALL SELECT page_id, title, 2, ps[k:], ps[k] FROM heads WHERE all_words > 60 AND k > 0 UNION ALL SELECT page_id, title, 2, ps, '' FROM heads WHERE all_words > 60 AND k IS NULL),
+  whole AS (SELECT *, {S.n_words("array_to_string(ps, ' ')")} <= 60 AS fits FROM cut),
+  walk AS (SELECT page_id, title, part, head, ps, fits, 1 AS i, 0 AS piece, ps[1] AS held FROM whole
+    UNION ALL SELECT page_id, title, part, head, ps, fits, i + 1, piece + (NOT joins)::INT, CASE WHEN joins THEN held || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END
+    FROM (SELECT *, fits OR {S.n_words('held')} + {S.n_words('ps[i + 1]')} <= 60 AS joins FROM walk WHERE i < len(ps)) AS w),
+  packed AS (SELECT page_id, title, part, head, piece, CASE WHEN piece > 0 AND head <> '' AND NOT starts_with(held, '#') THEN head || chr(10) || chr(10) || held ELSE held END AS text FROM walk QUALIFY i = max(i) OVER (PARTITION BY page_id, part, piece)),
+  split AS ({web.word_chunks('SELECT page_id, title, part, head, piece, text FROM packed', 'page_id, title, part, head, piece', 60, 10)}),
+  named AS (SELECT page_id, title, part, piece, idx, CASE WHEN idx > 0 AND starts_with(text0, '# ') AND NOT starts_with(chunk, '#') THEN head0 || chr(10) || chr(10) || chunk ELSE chunk END AS chunk
+    FROM (SELECT split.*, packed.text AS text0, split_part(packed.text, chr(10), 1) AS head0 FROM split JOIN packed USING (page_id, part, piece)) AS j
+    UNION ALL SELECT page_id, title, 0, 0, 0, text FROM p WHERE all_words BETWEEN 1 AND 60)
+  SELECT page_id, CASE WHEN title = '' OR starts_with(chunk, '# ') THEN '' ELSE 'Section: ' || title || chr(10) || chr(10) END || chunk AS text, (row_number() OVER (PARTITION BY page_id ORDER BY part, piece, idx) - 1)::INT AS "index", (count(*) OVER (PARTITION BY page_id))::INT AS total FROM named"""
 HEAD_PROMPT = "Read the page and answer with one JSON object and nothing else. Its keys are exactly: [\"company_name\", \"pricing\"]. Give null for what the page doesn''t say."
 
 ORACLE = {
@@ -285,11 +300,11 @@ ORACLE = {
     "keyword_search_agent": f"SELECT doc_id, score, {_snippet(100, 200)} AS snippet FROM (SELECT doc_id, text, {_hits('lower(text)')} AS score FROM documents) AS s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
     "page_lookup": "SELECT page_id, url FROM pages WHERE rtrim(lower(url), '/') = (SELECT rtrim(lower(max(url)), '/') FROM pages) ORDER BY page_id LIMIT 1",
     "page_list": f"SELECT url, title, {S.n_words('content')} AS words FROM ({web.ARTICLES}) AS a",
-    "chunk_words": f"""WITH RECURSIVE d AS (SELECT doc_id, text, {S.words('text')} AS ws FROM documents), step AS (
-      SELECT doc_id, ws, 0::BIGINT AS idx, 0::BIGINT AS lo, least(400, len(ws))::BIGINT AS target FROM d WHERE len(ws) > 400
-      UNION ALL SELECT doc_id, ws, idx + 1, nxt, least(nxt + 400, len(ws)) FROM (SELECT *, CASE WHEN hi <> target THEN hi ELSE hi - 50 END AS nxt FROM (SELECT *, {{}} AS hi FROM step) AS s) AS t WHERE hi < len(ws))
-      SELECT doc_id, idx AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_total, sha1(array_to_string(ws[lo + 1:hi], ' ')) AS chunk FROM (SELECT *, {{}} AS hi FROM step) AS f
-      UNION ALL SELECT doc_id, 0, 1, sha1(trim(text, {WS})) FROM d WHERE len(ws) BETWEEN 1 AND 400""".replace("{}", f"CASE WHEN target >= len(ws) THEN target ELSE coalesce(list_max(list_filter(range(greatest(target - 80, lo + 1), target + 1), lambda i: {CLOSED})), target) END"),
+    "chunk_words": f"SELECT doc_id, idx AS chunk_index, total AS chunk_total, sha1(chunk) AS chunk FROM ({web.word_chunks('SELECT doc_id, text FROM documents', 'doc_id', 400, 50)}) AS c",
+    "conversation_chunks": f"""SELECT conv_id, idx AS "index", total, chunk AS text FROM ({web.word_chunks('SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id', 'conv_id', 60, 10)}) AS c""",
+    "vector_rows": f"""SELECT url, idx AS chunk_index, total AS chunk_total, sha1(CASE WHEN title = '' OR starts_with(chunk, '# ') THEN '' ELSE 'Section: ' || title || chr(10) || chr(10) END || chunk) AS chunk, 256 AS dims
+      FROM ({web.word_chunks('SELECT url, title, text FROM (' + web.ORACLE['page_rows'] + ') AS p', 'url, title', 500, 50)}) AS c""",
+    "chunk_markdown": MARKDOWN_CHUNKS,
     "semantic_breaks": f"""SELECT id, label, sum(fresh) OVER (PARTITION BY label ORDER BY id)::BIGINT AS run FROM (SELECT id, label, CASE WHEN coalesce(list_cosine_similarity(vector::DOUBLE[], lag(vector::DOUBLE[]) OVER (PARTITION BY label ORDER BY id)), 1.0) < 0 THEN 1 ELSE 0 END AS fresh FROM {EMB} AS e) AS f""",
     "vector_topk": f"SELECT id, similarity FROM (SELECT a.id, {COSINE} AS similarity FROM {EMB} AS a, (SELECT * FROM {EMB} AS e ORDER BY id LIMIT 1) AS b) AS s ORDER BY similarity DESC, id LIMIT 10",
     "rank_of_match": RANKS,

@@ -181,7 +181,7 @@ def overlays(spark, sf_dir):
 def extraction_ensemble(spark, sf_dir):
     """The better of the Markdown and the plain-text extraction of each page."""
     p = pages_of(spark, sf_dir).select("page_id", pages.extract(F.col("html"), F.col("url"))["content"].alias("a"), article(F.col("html")).alias("b"))
-    return pages.best_of(p, ["a", "b"]).select("page_id", "content", F.round(text.extraction_score(F.col("content")), 6).alias("score"))
+    return pages.best_of(p, ["a", "b"]).select("page_id", "content", F.round(text.extraction_score(F.col("content")), 3).alias("score"))
 
 
 def articles(spark, sf_dir):
@@ -248,7 +248,7 @@ RAW = S.segments(U, True)
 TRIM = f"rtrim({S.path(U)}, '/')"
 FILE = f"regexp_matches(lower(regexp_extract({TRIM}, '[^/]*$')), '\\.(html?|php|aspx?|jsp)$')"
 BARE = f"list_filter(string_split(regexp_replace(CASE WHEN {FILE} THEN regexp_replace({TRIM}, '[^/]*$', '') ELSE {S.path(U)} END, '/index(\\.html?|\\.php)?$', ''), '/'), lambda s: s <> '')"
-SHELVES = S.quoted(urls.SHELVES)
+SHELVES = "'cat', 'categories', 'category', 'collections', 'products', 'shop'"
 DEEPEST = f"list_max(list_filter(range(1, len({RAW}) + 1), lambda i: lower(({RAW})[i]) IN ({SHELVES})))"
 SEED_PARTS = ["en", "docs", "guide", "start.html"]
 PRIORITY = "CASE " + " ".join(f"WHEN ({RAW})[1:{k}] = [{S.quoted(SEED_PARTS[:k])}] THEN {k / 4}" for k in (4, 3, 2, 1)) + " ELSE 0.0 END"
@@ -257,18 +257,76 @@ STATS = f"SELECT {S.first_segment(U)} AS segment, sum({VISIBLE_WORDS})::BIGINT A
 SIZED = f"SELECT page_id, url, {S.section(U)} AS pattern, count(*) OVER (PARTITION BY {S.section(U)}) AS pattern_cluster_size FROM pages"
 SAMPLED = f"SELECT page_id, url, pattern, pattern_cluster_size, pattern_cluster_size > 20 AS is_sample FROM ({SIZED}) AS s QUALIFY pattern_cluster_size <= 20 OR row_number() OVER (PARTITION BY pattern ORDER BY sha1(url), url) <= 5"
 ROUND = f"SELECT DISTINCT dst AS url FROM ({S.EDGES}) AS e WHERE {S.netloc('dst')} = {S.netloc('src')} AND dst NOT IN (SELECT {S.normalized(U)} FROM pages)"
-MARKS = " OR ".join(f"contains(html, '{m}')" for m in text.STRONG_MARKS + text.WEAK_MARKS)
+MARKS = " OR ".join(f"contains(html, '{m}')" for m in ('__NUXT__', 'data-qwik', 'data-reactroot', 'id="___gatsby"', 'id="__next"', 'id="app"', 'id="root"', 'ng-version='))
 SPA = f"(html <> '' AND ({MARKS}) AND length({S.visible('html')}) < 400 AND length({S.visible('html')}) / length(html) < 0.05)"
 PATH = S.stripped_path(U)
-DOCLIKE = S.quoted(urls.DOCLIKE)
-SCORE = f"""CASE WHEN contains(regexp_extract({PATH}, '[^/]*$'), '.') AND lower(regexp_extract({PATH}, '[^./]*$')) NOT IN ({S.quoted(urls.HTMLLIKE)}) THEN base * 0.1
+DOCLIKE = "'api', 'article', 'blog', 'doc', 'docs', 'getting-started', 'guide', 'learn', 'manual', 'post', 'reference', 'tutorial'"
+SCORE = f"""CASE WHEN contains(regexp_extract({PATH}, '[^/]*$'), '.') AND lower(regexp_extract({PATH}, '[^./]*$')) NOT IN ('', 'asp', 'aspx', 'htm', 'html', 'jsp', 'php') THEN base * 0.1
   ELSE base * greatest(0.3, 1.0 - (CASE WHEN {PATH} = '' THEN 0 ELSE len(string_split({PATH}, '/')) END) * 0.05::DOUBLE) * CASE WHEN len(list_intersect(string_split(lower({PATH}), '/'), [{DOCLIKE}])) > 0 THEN 1.3 ELSE 1.0 END END"""
-IN_RE = "|".join(f"(?:{urls.glob_regex(g)})" for g in INCLUDE)
-EX_RE = "|".join(f"(?:{urls.glob_regex(g)})" for g in EXCLUDE)
+IN_RE = "(?s)^/(?:en|[a-d]).*$"
+EX_RE = "(?s)^(?:.*/9.*|/fr/.)$"
 KEPT = f"SELECT * FROM ({ARTICLES}) AS a QUALIFY row_number() OVER (PARTITION BY sha1(content) ORDER BY page_id) = 1"
 HALF = "(SELECT avg(page_id) FROM pages)"
 ROOT = f"{S.scheme(U)} || '://' || {S.netloc(U)} || '/'"
 
+# The made-up pages have one article of a heading and paragraphs, some of which are bold up to a line break.
+TEXTLIKE = {sign: entity for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))}
+
+
+def decoded(t: str) -> str:
+    for sign, entity in TEXTLIKE.items():
+        t = f"replace({t}, '{entity}', '{sign}')"
+    return t
+
+
+INNER = "regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)"
+BITS = f"list_filter(list_transform(regexp_split_to_array({INNER}, '</?(?:h1|p)>'), lambda x: trim(x)), lambda x: x <> '')"
+MARKED = f"list_transform({BITS}, lambda x, i: CASE WHEN i = 1 THEN '# ' || x WHEN starts_with(x, '<b>') THEN '**' || trim(regexp_replace(x, '</?b>|<br>', '', 'g')) || '**' ELSE x END)"
+# An article of fewer than 25 words isn't taken for the main region, so the page's box is content, too.
+ARTICLE_ROWS = f"list_transform({BITS}, lambda x: trim(regexp_replace(regexp_replace(x, '</?b>|<br>', ' ', 'g'), '\\s+', ' ', 'g')))"
+BOX = "regexp_extract(html, '(?is)<div class=\"ad\">(.*?)</div>', 1)"
+SHORT = f"{S.n_words(f'array_to_string({ARTICLE_ROWS}, chr(32))')} < 25"
+MARKDOWN = decoded(f"(CASE WHEN {SHORT} THEN trim(regexp_replace({BOX}, '\\s+', ' ', 'g')) || chr(10) || chr(10) ELSE '' END || array_to_string({MARKED}, chr(10) || chr(10)))")
+ROWS_OF_TEXT = f"(CASE WHEN {SHORT} THEN list_concat(list_transform(string_split({BOX}, chr(10)), lambda x: trim(x)), {ARTICLE_ROWS}) ELSE {ARTICLE_ROWS} END)"
+PLAIN = decoded(f"array_to_string(list_filter({ROWS_OF_TEXT}, lambda x, i: i = 1 OR x <> ({ROWS_OF_TEXT})[i - 1]), chr(10))")
+
+
+def stem(*names: str) -> str:
+    return f"regexp_matches(lower({S.path(U)}), '/(?:{'|'.join(names)})')"
+
+
+def classed(names: str) -> str:
+    return f"regexp_matches(html, '(?i)class=\"[^\"]*(?:{names})')"
+
+
+DOCS, POSTS = stem("doc", "api", "reference", "guide", "tutorial", "manual", "sdk", "specification"), stem("blog", "post", "article", "news", "story", "journal")
+TYPE = f"""CASE WHEN ({DOCS} AND regexp_matches(html, '<(pre|code)\\b')) OR len(regexp_extract_all(html, '<pre\\b')) >= 3 THEN 'docs'
+  WHEN (contains(html, '<article') OR {POSTS}) AND (contains(html, '<time') OR regexp_matches(html, 'rel="[^"]*\\bauthor\\b') OR {classed('author|byline')}) THEN 'article'
+  WHEN {stem("product", "item", "shop", "store", "buy", "pricing", "catalog")} AND regexp_matches(left({S.visible(f"regexp_extract(html, '(?is)<body.*')")}, 2000), '[0-9]\\.[0-9]{{2}}|[$][0-9]') THEN 'product'
+  WHEN {stem("forum", "thread", "discussion", "community", "topic", "question", "answer", "ask")} AND {classed('reply|comment|answer|post')} THEN 'forum'
+  WHEN {DOCS} THEN 'docs' WHEN {POSTS} THEN 'article' ELSE 'generic' END"""
+DESCRIPTION = "trim(regexp_extract(html, '(?is)<meta name=\"description\" content=\"([^\"]*)\"', 1))"
+CLOSED = """regexp_matches(rtrim(ws[i], chr(34) || chr(39) || ')]}}>'), '[.!?]$')"""
+
+
+def score_of(t: str) -> str:
+    """Extraction score of a text, from its words, links, sentences, headings and paragraphs."""
+    own = f"list_filter(list_transform(regexp_split_to_array({t}, '[.!?]+'), lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13))), lambda s: s <> '')"
+    n = f"{S.n_words(t)}"
+    return f"""CASE WHEN {n} > 0 THEN {n} * 0.3::DOUBLE + (1 - len(regexp_extract_all({t}, '\\[.*?\\]\\(.*?\\)')) / {n}) * 0.3::DOUBLE
+      + least(coalesce(list_sum(list_transform({own}, lambda s: {S.n_words('s')})), 0) / greatest(len({own}), 1) / 20, 1.0) * 0.2::DOUBLE + (regexp_matches({t}, '(?m)^#{{1,6}}\\s+')::INT + contains({t}, chr(10) || chr(10))::INT) * 0.1::DOUBLE ELSE 0.0 END"""
+
+
+def word_chunks(source: str, keys: str, most: int, overlap: int) -> str:
+    """(keys, idx, total, chunk) of a table (keys, text): windows of words that end with a sentence if one ends in their last fifth."""
+    end = f"CASE WHEN target >= len(ws) THEN target ELSE coalesce(list_max(list_filter(range(greatest(target - {max(most // 5, 10)}, lo + 1), target + 1), lambda i: {CLOSED.replace('}}', '}')})), target) END"
+    return f"""WITH RECURSIVE d AS (SELECT {keys}, text, {S.words('text')} AS ws FROM ({source}) AS src), step AS (
+      SELECT {keys}, ws, 0::BIGINT AS idx, 0::BIGINT AS lo, least({most}, len(ws))::BIGINT AS target FROM d WHERE len(ws) > {most}
+      UNION ALL SELECT {keys}, ws, idx + 1, nxt, least(nxt + {most}, len(ws)) FROM (SELECT *, CASE WHEN hi <> target THEN hi ELSE greatest(hi - {overlap}, lo + 1) END AS nxt FROM (SELECT *, {end} AS hi FROM step) AS s) AS t WHERE hi < len(ws))
+      SELECT {keys}, idx, count(*) OVER (PARTITION BY {keys}) AS total, array_to_string(ws[lo + 1:hi], ' ') AS chunk FROM (SELECT *, {end} AS hi FROM step) AS f
+      UNION ALL SELECT {keys}, 0, 1, trim(text, chr(32) || chr(10) || chr(9) || chr(13)) FROM d WHERE len(ws) BETWEEN 1 AND {most}"""
+
+
 ORACLE = {
     "url_normalize": f"SELECT page_id, {S.normalized(U)} AS normalized FROM pages",
     "url_filenames": f"SELECT page_id, {S.page_filename(U)} AS page_file, {S.image_filename(U)} AS image_file, {S.screenshot_filename(U)} AS screenshot_file FROM pages",
@@ -280,7 +338,7 @@ ORACLE = {
     "locale_confirmed": CONFIRMED,
     "site_profile": f"""SELECT (SELECT count(*) FROM pages) AS sample_size, coalesce(string_agg(locale, ',' ORDER BY locale), '') AS confirmed, coalesce(string_agg(locale, ',' ORDER BY locale) FILTER ({S.language('locale')} <> 'en'), '') AS non_primary,
       count(*) FILTER ({S.language('locale')} <> 'en') > 0 AS has_i18n_variants, (SELECT count(*) FROM ({COUNTS}) AS c) AS n_locales FROM ({CONFIRMED}) AS x""",
-    "url_path_scope": f"""SELECT page_id, CASE WHEN lower(({RAW})[1]) IN ({S.quoted(urls.WIKIS)}) OR {DEEPEST} = 1 THEN NULL WHEN {DEEPEST} > 1 THEN '/' || array_to_string(({RAW})[1:{DEEPEST} - 1], '/') || '/*'
+    "url_path_scope": f"""SELECT page_id, CASE WHEN lower(({RAW})[1]) IN ('wiki', 'wikipedia') OR {DEEPEST} = 1 THEN NULL WHEN {DEEPEST} > 1 THEN '/' || array_to_string(({RAW})[1:{DEEPEST} - 1], '/') || '/*'
       WHEN len({BARE}) >= 2 THEN '/' || array_to_string({BARE}, '/') || '/*' END AS scope, ({PRIORITY})::DOUBLE AS priority FROM pages""",
     "url_globs": f"SELECT page_id, {S.foreign(U)} OR regexp_matches({S.path(U)}, '{EX_RE}') OR NOT regexp_matches({S.path(U)}, '{IN_RE}') AS excluded FROM pages",
     "url_citation": f"SELECT page_id, {_citation(S.title('html'))} AS citation FROM pages",
@@ -303,6 +361,11 @@ ORACLE = {
     "visible_text": f"SELECT page_id, {S.visible('html')} AS visible, {SPA} AS is_spa FROM pages",
     "page_titles": f"SELECT page_id, {S.title('html')} AS title FROM pages",
     "page_links": f"SELECT DISTINCT page_id, dst FROM ({S.EDGES}) AS e",
+    "page_content": f"SELECT p.page_id, {S.title('html')} AS title, CASE WHEN {DESCRIPTION} <> '' THEN '*' || {DESCRIPTION} || '*' || chr(10) || chr(10) ELSE '' END || {MARKDOWN} AS content, {TYPE} AS page_type, {DESCRIPTION} AS description, coalesce(l.links, '') AS links FROM pages AS p LEFT JOIN (SELECT page_id, string_agg(dst, chr(10) ORDER BY dst) AS links FROM (SELECT DISTINCT page_id, dst FROM ({S.EDGES}) AS e) AS d GROUP BY page_id) AS l ON l.page_id = p.page_id",
+    "page_text": f"SELECT page_id, {PLAIN} AS content FROM pages",
+    "page_types": f"SELECT page_id, {TYPE} AS page_type FROM pages",
+    "overlays": f"SELECT page_id, replace(replace(replace(replace({S.visible('html')}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&#39;', chr(39)) AS visible FROM pages",
+    "extraction_ensemble": f"SELECT page_id, CASE WHEN sb > sa THEN b ELSE a END AS content, round(greatest(sa, sb), 3) AS score FROM (SELECT *, {score_of('a')} AS sa, {score_of('b')} AS sb FROM (SELECT page_id, {MARKDOWN} AS a, {S.article('html')} AS b FROM pages) AS x) AS y",
     "page_rows": f"""SELECT url, title, {S.page_filename(U)} AS path, '2026-01-15T12:30:00Z' AS crawled_at, {_citation()} AS citation, 'weftline' AS tool, content AS text
       FROM (SELECT page_id, {S.normalized(U)} AS url, title, content FROM ({ARTICLES}) AS a WHERE {S.n_words('content')} >= 20) AS n QUALIFY row_number() OVER (PARTITION BY sha1(content) ORDER BY page_id) = 1""",
     "rendered_pages": f"SELECT page_id, sha1({_rendered('# ', '> ')}) AS markdown_sha1, sha1({_rendered('Title: ', '')}) AS text_sha1 FROM ({ARTICLES}) AS a",
