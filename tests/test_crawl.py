@@ -1,3 +1,6 @@
+import time
+import uuid
+
 import pytest
 
 from weftline.errors import ConfigurationError
@@ -49,6 +52,54 @@ def test_budget_then_resume(spark, tmp_path):
     assert rest.pages_saved == 4 and urls_of(rest) == {"/", "/a", "/c", "/d.html"}
 
 
+def test_auto_resume_interrupt_and_progress(spark, tmp_path):
+    at, said = str(tmp_path / "o"), []
+
+    def stop(message):
+        said.append(message)
+        if message.startswith("round 2"):
+            raise KeyboardInterrupt
+
+    first = c.crawl(spark, "http://e.com", at, client, c.Options(batch=1, auto_resume=True), progress=stop)
+    assert first.rounds == 2 and said[-1].startswith("interrupted") and not first.frontier.isEmpty()
+    rest = c.crawl(spark, "http://e.com", at, client, c.Options(auto_resume=True))
+    assert rest.pages_saved == 4 and urls_of(rest) == {"/", "/a", "/c", "/d.html"} and rest.frontier.isEmpty()
+
+
+def test_one_request_a_delay_and_host(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def recording(url):
+        began = time.time()
+        (log / uuid.uuid4().hex).write_text(f"{began} {url}")
+        path = "/" + url.partition("//")[2].partition("/")[2]
+        if path == "/":
+            return Response(200, body("home", [f"/p{i}" for i in range(6)]).encode(), {"content-type": "text/html"})
+        if path == "/robots.txt":
+            return Response(200, b"User-agent: *\nCrawl-delay: 0.3\n", {"content-type": "text/plain"})
+        n = len(list(log.iterdir()))
+        return Response(429 if path == "/p0" and n < 4 else 200, body(f"w{path[1:]}", []).encode(), {"content-type": "text/html"})
+
+    got = c.crawl(spark, "http://e.com", str(tmp_path / "o"), recording, c.Options(threads=8))
+    assert got.pages_saved == 7
+    starts = sorted(float(f.read_text().split()[0]) for f in log.iterdir() if not f.read_text().endswith("robots.txt"))
+    gaps = [b - a for a, b in zip(starts, starts[1:])]
+    assert min(gaps) > 0.28 and max(gaps) > 0.9  # a second at least after the 429
+    assert all(r["crawled_at"] >= "2020" for r in got.rows.collect())
+
+
+def test_overlays_are_cut_from_rendered_pages(spark, tmp_path):
+    shell = '<html><body><div id="root"></div><script src="/x.js"></script>' + "<script>" + "x" * 2000 + "</script></body></html>"
+    words = " ".join(f"w{i}" for i in range(30))
+    plain = lambda url: Response(200, shell.encode(), {"content-type": "text/html"}) if url.rstrip("/").endswith("e.com") else Response(404)
+    seen = lambda url: Response(200, f'<main><p>{words}</p><div class="modal" role="dialog">Subscribe now</div></main>'.encode(), {"content-type": "text/html"})
+    got = c.crawl(spark, "http://e.com", str(tmp_path / "o"), plain, c.Options(use_sitemap=False), browser=seen).rows.first()
+    assert got["text"] == words
+    shot = c.crawl(spark, "http://e.com", str(tmp_path / "p"), lambda url: Response(404), c.Options(use_sitemap=False), browser=seen, render=lambda url, shot: b"png").rows.first()
+    assert shot["text"] == words and shot["screenshot"]
+
+
 def test_dry_run_and_filters(spark, tmp_path):
     dry = c.crawl(spark, "http://e.com", str(tmp_path / "d"), client, c.Options(dry_run=True))
     assert dry.pages_saved == 0 and [r["url"] for r in dry.frontier.collect()] == ["http://e.com/"]

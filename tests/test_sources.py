@@ -35,11 +35,35 @@ def test_hashes_and_state(spark, tmp_path):
     for n in (1, 2):
         files.save_state(state, {t: spark.createDataFrame([(t * n,)], "url string") for t in files.STATE}, n, ["s"])
     got = files.load_state(spark, state)
-    assert got["saved_count"] == 2 and got["to_visit"].first()[0] == "to_visit" * 2 and len(list((tmp_path / "s").glob("[!.]*"))) == 2
+    assert got["saved_count"] == 2 and got["to_visit"].first()[0] == "to_visit" * 2 and len(list((tmp_path / "s").glob("[!.]*"))) == 5
+    for r in (1, 2):
+        files.save_state(state, {t: spark.createDataFrame([(f"{t}{r}",)], "url string") for t in files.STATE}, 10 + r, ["s"], r)
+    got = files.load_state(spark, state)
+    assert (got["round"], got["saved_count"]) == (2, 12) and {r[0] for r in got["seen_urls"].collect()} == {"seen_urls" * 2, "seen_urls1", "seen_urls2"}
+    spark.createDataFrame([("torn",)], "url string").write.parquet(f"{state}/seen_urls/round=3")  # a round without a note isn't done
+    assert files.load_state(spark, state)["seen_urls"].count() == 3
     files.drop_state(spark, state)
     assert files.load_state(spark, state) is None
 
 
+def test_one_hosts_requests_begin_a_delay_apart():
+    """Eight threads, a slow clock of our own: the starts are as far apart as the delay asks for."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from weftline.streaming.throttle import Pace
+
+    waits = []
+    pace = Pace(2.0, clock=lambda: 100.0, sleep=waits.append)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda _: pace.turn(), range(6)))
+    assert sorted(waits) == [2.0, 4.0, 6.0, 8.0, 10.0]
+    pace.answered(429, None)
+    pace.turn()
+    assert waits[-1] == 14.0 and pace.state[:2] == (4.0, 1)  # the delay has doubled
+    pace.turn()
+    assert waits[-1] == 18.0
+
+
 def test_cases_and_log(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>x")
     (tmp_path / "b.html").write_text("<p>y")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text, urls
@@ -116,22 +116,14 @@ def frontier_order(spark, sf_dir):
     return frontier.batch(frontier.placed(frontier_round(spark, sf_dir), seed=SEED), 100).select("url", "band")
 
 
-def parent_edges(spark, sf_dir):
-    """A connected graph with cycles: each page and the root of its host, both ways, and each
-    host but the first with the one at half its place in the alphabet."""
-    p = pages_of(spark, sf_dir).select(urls.normalized(F.col("url")).alias("url"))
-    root = p.select("url", F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")), F.lit("/")).alias("root"))
-    hosts = root.select("root").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("root")))
-    tree = hosts.alias("a").join(hosts.alias("b"), F.expr("b.n = floor(a.n / 2)")).select(F.col("a.root").alias("src"), F.col("b.root").alias("dst"))
-    down = root.select(F.col("root").alias("src"), F.col("url").alias("dst")).unionByName(tree)
-    up = down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return down.unionByName(up).where("src <> dst").distinct()
-
-
 def bfs_reach(spark, sf_dir):
-    e = parent_edges(spark, sf_dir)
-    start = e.agg(F.min("src").alias("url")).where("url is not null")
-    return frontier.reached(spark, start, e)
+    """All addresses that following links finds from the hosts' roots: a root leads to the
+    host's pages, as its sitemap would, and a page to its links."""
+    u = F.col("url")
+    p = pages_of(spark, sf_dir).select(urls.normalized(u).alias("url")).distinct()
+    own = p.select(urls.normalized(F.concat(urls.scheme(u), F.lit("://"), urls.netloc(u), F.lit("/"))).alias("src"), u.alias("dst"))
+    e = kept(spark, own.unionByName(edges_of(spark, sf_dir).select("src", "dst")).where("src <> dst").distinct(), "edges")
+    return frontier.reached(spark, own.select(F.col("src").alias("url")), e)
 
 
 def yield_stats(spark, sf_dir):
@@ -350,10 +342,9 @@ ORACLE = {
     "link_indegree": f"SELECT dst, count(DISTINCT page_id) AS n_pages FROM ({S.EDGES}) AS e GROUP BY dst",
     "frontier_round": ROUND,
     "frontier_order": f"SELECT url, CASE WHEN ({PRIORITY}) >= 0.5 THEN 0 ELSE 2 END AS band FROM ({ROUND}) AS r ORDER BY band, url LIMIT 100",
-    "bfs_reach": f"""WITH RECURSIVE p AS (SELECT {S.normalized(U)} AS url FROM pages), r AS (SELECT url, {ROOT} AS root FROM p), h AS (SELECT root, row_number() OVER (ORDER BY root) AS n FROM (SELECT DISTINCT root FROM r) AS d),
-      one AS (SELECT root AS src, url AS dst FROM r UNION ALL SELECT a.root, b.root FROM h AS a JOIN h AS b ON b.n = a.n // 2),
-      e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM one UNION ALL SELECT dst, src FROM one) AS x WHERE src <> dst),
-      walk AS (SELECT min(src) AS url, 0 AS depth FROM e UNION SELECT e.dst, walk.depth + 1 FROM walk JOIN e ON e.src = walk.url WHERE walk.depth < 40)
+    "bfs_reach": f"""WITH RECURSIVE p AS (SELECT {S.normalized(U)} AS url FROM pages), own AS (SELECT DISTINCT {S.normalized(ROOT)} AS src, url AS dst FROM p),
+      e AS (SELECT src, dst FROM own WHERE src <> dst UNION SELECT src, dst FROM ({S.EDGES}) AS l WHERE src <> dst),
+      walk AS (SELECT src AS url, 0 AS depth FROM own UNION SELECT e.dst, walk.depth + 1 FROM walk JOIN e ON e.src = walk.url WHERE walk.depth < 40)
       SELECT url, min(depth) AS depth FROM walk WHERE url IS NOT NULL GROUP BY url""",
     "yield_stats": f"SELECT *, round(total_words / pages, 1) AS avg_words FROM ({STATS}) AS s",
     "link_scores": f"""SELECT url, round({SCORE}, 4) AS score FROM (SELECT d.url, coalesce(s.total_words / s.pages, 200.0)::DOUBLE AS base FROM (SELECT DISTINCT dst AS url FROM ({S.EDGES}) AS e) AS d

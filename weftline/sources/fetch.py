@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text, urls
+from weftline.streaming import throttle
 
 RETRIED = frozenset((504, 503, 502, 500, 429))
 WEB = "url string, ok boolean, status int, content_type string, html string, elapsed_ms double"
@@ -88,25 +89,53 @@ def urllib_client(agent: str = "weftline", timeout: float = 15, proxy: str | Non
     return get
 
 
-def fetched(frontier: DataFrame, client: Client, threads: int = 4, delay: float = 0.0, retries: int = 3, pause: float = 0.5) -> DataFrame:
+PACE = "host string, pace_n int, pace_delay double, pace_memory int, pace_times array<double>"
+
+
+def fetched(frontier: DataFrame, client: Client, threads: int = 4, delay: float = 0.0, retries: int = 3, pause: float = 0.5, paces: dict[str, tuple] | None = None) -> DataFrame:
     """Rows url, ok, status, content_type, html, elapsed_ms of the frontier's addresses; those
-    that can't be had have ok false and nulls. Spread the frontier by host to keep one
-    host's delay in one partition."""
+    that can't be had have ok false and nulls. With `paces` also the host and its pace after
+    the answer (see paces_of), to begin the next round with.
+
+    The addresses are split by host, so that one task asks a host, and its requests begin at
+    least the host's delay apart: `delay`, longer after 429 and slow answers. Retries take a
+    turn like other requests. Without any delay a host is asked by `threads` at a time."""
+    hosts = urls.netloc(F.col("url"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = with_retries(client, retries, pause)
+        own: dict[str, throttle.Pace] = {}
 
-        def one(url: str):
-            if delay:
-                time.sleep(delay)
-            r = get(url)
-            return (url, False, None, None, None, None) if r is None else (url, r.ok, r.status, r.content_type, r.text if r.ok else None, r.elapsed_ms)
+        def one(url: str, host: str):
+            pace = own[host]
+
+            def asked(u: str) -> Response:
+                pace.turn()
+                r = client(u)
+                pace.answered(r.status, r.elapsed_ms / 1000)
+                return r
+
+            r = with_retries(asked, retries, pause)(url)
+            found = (url, False, None, None, None, None) if r is None else (url, r.ok, r.status, r.content_type, r.text if r.ok else None, r.elapsed_ms)
+            return (*found, host)
 
         with ThreadPoolExecutor(max(1, threads)) as pool:
             for b in batches:
-                yield pd.DataFrame(list(pool.map(one, b["url"])), columns=[f.split()[0] for f in WEB.split(", ")]).astype({"status": "Int32", "elapsed_ms": "float64"})
-
-    return frontier.select("url").mapInPandas(run, WEB)
+                for h in b["host"].unique():
+                    own.setdefault(h, throttle.Pace(delay, (paces or {}).get(h)))
+                out = pd.DataFrame(list(pool.map(one, b["url"], b["host"])), columns=[*(f.split()[0] for f in WEB.split(", ")), "host"]).astype({"status": "Int32", "elapsed_ms": "float64"})
+                now = [own[h].state for h in out["host"]]
+                yield out.assign(pace_n=[own[h].answers for h in out["host"]], pace_delay=[float(x[0]) for x in now], pace_memory=[x[1] for x in now], pace_times=[list(x[2]) for x in now])
+
+    spread = frontier.select("url", hosts.alias("host")).repartition("host")
+    web = spread.mapInPandas(run, f"{WEB}, {PACE}")
+    return web if paces is not None else web.drop("host", "pace_n", "pace_delay", "pace_memory", "pace_times")
+
+
+def paces_of(web: DataFrame) -> dict[str, tuple]:
+    """{host: pace} after a round, one of as many hosts as a site has. Hosts are asked by one
+    task each, whose last batch has seen the most answers."""
+    last = web.groupBy("host").agg(F.max_by(F.struct("pace_delay", "pace_memory", "pace_times"), "pace_n").alias("p"))
+    return {r["host"]: (r["p"]["pace_delay"], r["p"]["pace_memory"], list(r["p"]["pace_times"])) for r in last.collect()}
 
 
 def needs_browser(client: Client, url: str, look: Callable[[str], bool]) -> bool:

@@ -67,20 +67,22 @@ def append_hashes(spark: SparkSession, hashes: DataFrame, path: str) -> None:
 STATE = ("seen_urls", "seen_content", "to_visit", "visited_for_links")
 
 
-def save_state(path: str, tables: dict[str, DataFrame], saved: int, seeds: list[str]) -> None:
-    """Writes the sets of a crawl to a new version and then points at it, so that a crash
-    leaves the version before."""
+def save_state(path: str, tables: dict[str, DataFrame], saved: int, seeds: list[str], round_: int | None = None) -> None:
+    """Adds what a round has added to the sets of a crawl, and then says so in a note: without
+    it, after a crash, the round counts as not done. Rows are never written twice; to_visit
+    has all that was ever queued, and what of it is still to visit is what isn't seen.
+    Without a round the tables are the whole state, in place of any before."""
     spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name in STATE:
-        tables[name].write.parquet(f"{path}/{version}/{name}")
-    note = json.dumps({"version": version, "saved_count": saved, "seeds": seeds})
-    spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current-{version}")
     fs, jpath = _files(spark, path)
-    for status in fs.listStatus(jpath(path)):
-        name = status.getPath().getName()
-        if not name.endswith(version):
-            fs.delete(status.getPath(), True)
+    if round_ is None:
+        fs.delete(jpath(path), True)
+        round_ = 0
+    for name in STATE:
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}/round={round_}")
+    note = json.dumps({"round": round_, "saved_count": saved, "seeds": seeds})
+    spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current-{round_}")
+    if round_:
+        fs.delete(jpath(f"{path}/current-{round_ - 1}"), True)
 
 
 def _files(spark: SparkSession, path: str):
@@ -90,16 +92,22 @@ def _files(spark: SparkSession, path: str):
 
 
 def load_state(spark: SparkSession, path: str) -> dict | None:
-    """The tables with saved_count and seeds, or None where no state was saved."""
+    """The tables with round, saved_count and seeds, or None where no state was saved."""
     fs, jpath = _files(spark, path)
     if not fs.exists(jpath(path)):
         return None
-    for status in fs.listStatus(jpath(path)):
-        name = status.getPath().getName()
-        if name.startswith("current-") and fs.exists(jpath(f"{path}/{name}/_SUCCESS")):
-            note = json.loads(spark.read.text(f"{path}/{name}").first()[0])
-            return {n: spark.read.parquet(f"{path}/{note['version']}/{n}") for n in STATE} | {"saved_count": note["saved_count"], "seeds": note["seeds"]}
-    return None
+    names = [status.getPath().getName() for status in fs.listStatus(jpath(path))]
+    rounds = [int(n.removeprefix("current-")) for n in names if n.startswith("current-") and fs.exists(jpath(f"{path}/{n}/_SUCCESS"))]
+    if not rounds:
+        return None
+    note = json.loads(spark.read.text(f"{path}/current-{max(rounds)}").first()[0])
+    return {n: state_table(spark, path, n, note["round"]) for n in STATE} | {"round": note["round"], "saved_count": note["saved_count"], "seeds": note["seeds"]}
+
+
+def state_table(spark: SparkSession, path: str, name: str, upto: int) -> DataFrame:
+    """A set of the state as of a round."""
+    own = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    return own.where(F.col("round") <= upto).drop("round")
 
 
 def drop_state(spark: SparkSession, path: str) -> None:

@@ -3,6 +3,8 @@ ordered answers and as a stateful stream. Both give the delay after each answer.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +34,32 @@ def step(active: float, backoff: int, times: list[float], status: int | None, se
     return active, backoff, times
 
 
+class Pace:
+    """One host's turns: requests begin at least the present delay apart, whatever the threads,
+    and each answer sets the next delay by `step`. clock and sleep are for tests."""
+
+    def __init__(self, base: float, state: tuple[float, int, list[float]] | None = None, clock=time.monotonic, sleep=time.sleep):
+        self.base, self.state = base, state or (base, 0, [])
+        self.clock, self.sleep, self.lock, self.next = clock, sleep, threading.Lock(), None
+        self.answers = 0
+
+    def turn(self) -> None:
+        """Returns when it is the caller's turn."""
+        with self.lock:
+            now = self.clock()
+            at = now if self.next is None else max(now, self.next)
+            self.next = at + self.state[0]
+        if at > now:
+            self.sleep(at - now)
+
+    def answered(self, status: int | None, seconds: float | None) -> None:
+        with self.lock:
+            self.answers += 1
+            before, self.state = self.state[0], step(*self.state, status, seconds, self.base)
+            if self.next is not None and self.state[0] > before:
+                self.next += self.state[0] - before
+
+
 def delays(df: DataFrame, key: str, order: str, status: str = "status", seconds: str = "seconds", base: float = 0.0) -> DataFrame:
     """(key, order, delay) after each answer, in order. One group's answers are folded by one
     task and must fit its memory; a host is asked seldom enough for that."""
