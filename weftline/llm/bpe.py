@@ -248,8 +248,9 @@ class Encoder:
         slot = np.searchsorted(self.known, keys)
         there = slot < len(self.known)
         there[there] = self.known[slot[there]] == keys[there]
-        new = ~there
-        new[1:] &= keys[1:] != keys[:-1]
+        new = np.zeros(len(keys), bool)
+        new[np.unique(keys, return_index=True)[1]] = True
+        new &= ~there
         keys, starts, sizes, at, count = keys[new], starts[new], sizes[new], at[new], count[new]
         held = np.where(sizes > 7, sizes, 0)
         text_at = len(self.text) + np.cumsum(held) - held

@@ -120,10 +120,13 @@ def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray,
 
 
 def first_equals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys in ascending order, first range of each, number of each range's key) of distinct
-    ranges: as np.unique over content_keys, but ranges of equal key are compared byte for
-    byte, and those that differ get distinct numbers under the same key."""
-    distinct, first, inverse = np.unique(content_keys(data, starts, ends), return_index=True, return_inverse=True)
+    """(keys, first range of each, number of each range's key) of distinct ranges, in no
+    certain order. Ranges of equal key are compared byte for byte, and those that differ get
+    numbers of their own under the same key."""
+    found = pa.array(content_keys(data, starts, ends)).dictionary_encode()
+    distinct, inverse = found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+    first = np.empty(len(distinct), np.int64)
+    first[inverse[::-1]] = np.arange(len(starts))[::-1]
     long = np.flatnonzero(ends - starts > 7)
     long = long[first[inverse[long]] != long]
     lead = first[inverse[long]]
@@ -139,10 +142,7 @@ def first_equals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
                 keys.append(distinct[inverse[k]])
                 firsts.append(k)
             inverse[k] = more[body]
-        order = np.argsort(np.concatenate([distinct, np.array(keys, U64)]), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        distinct, first, inverse = np.concatenate([distinct, np.array(keys, U64)])[order], np.concatenate([first, firsts])[order], place[inverse]
+        distinct, first = np.concatenate([distinct, np.array(keys, U64)]), np.concatenate([first, firsts])
     return distinct, first, inverse
 
 
