@@ -1,13 +1,19 @@
+import io
+import json
 import os
 import subprocess
 import sys
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 import weftline
 from tests.test_crawl import client
 from weftline import agent, cli
-from weftline.errors import ConfigurationError, WeftlineError
+from weftline.errors import ConfigurationError, ExtractionError, WeftlineError
+from weftline.operators import evaluate, pages, search
+from weftline.sources import fetch, files, models
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -43,6 +49,84 @@ def test_agent(spark, tmp_path):
     assert own["list_pages"]().startswith("4 pages") and own["extract_data"](fields="name").count("'x'") == 4
 
 
+def test_agent_arguments_are_checked(spark, tmp_path):
+    own = {t.name: t for t in agent.tools(spark, str(tmp_path), client)}
+    for name, given in (("search_pages", {}), ("search_pages", {"query": ""}), ("search_pages", {"query": "x", "max_results": 0}), ("search_pages", {"query": "x", "max_results": True}), ("read_page", {"url": 3}), ("list_pages", {"other": 1})):
+        with pytest.raises(ConfigurationError):
+            own[name].call(**given)
+    assert own["search_pages"].schema()["required"] == ["query"] and own["search_pages"].schema()["properties"]["max_results"] == {"type": "integer", "description": "results at most", "minimum": 1, "maximum": 100, "default": 10}
+
+
+def test_server(spark, tmp_path):
+    ask = lambda i, method, **params: json.dumps({"jsonrpc": "2.0", "id": i, "method": method, "params": params})
+    lines = [ask(1, "initialize", protocolVersion="2024-11-05"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask(2, "tools/list"), ask(3, "tools/call", name="crawl_site", arguments={"url": "http://e.com"}), ask(4, "tools/call", name="read_page", arguments={"url": "http://e.com/a"}), ask(5, "tools/call", name="read_page"), ask(6, "tools/call", name="no"), ask(7, "no"), "", "not json", "3"]
+    sink = io.StringIO()
+    agent.serve(agent.tools(spark, str(tmp_path), client), io.StringIO("\n".join(lines)), sink)
+    got = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert [m["id"] for m in got] == [1, 2, 3, 4, 5, 6, 7, None, None]
+    assert [t["name"] for t in got[1]["result"]["tools"]] == ["crawl_site", "search_pages", "read_page", "list_pages", "extract_data"]
+    assert got[2]["result"]["content"][0]["text"].startswith("4 pages") and got[3]["result"]["content"][0]["text"].startswith("apple") and got[4]["result"]["isError"]
+    assert [m["error"]["code"] for m in got[5:]] == [-32602, -32601, -32700, -32700]
+
+
+def write_rows(batch):
+    with open(f"{os.environ['WEFT_TEST_OUT']}/{uuid.uuid4().hex}", "w") as f:
+        f.write("\n".join(r["url"] for r in batch))
+
+
+def model(prompt):
+    return '{"fields": ["url", "name"]}' if "Name 5" in prompt else '{"url": "u", "name": "n"}'
+
+
+def test_upload_and_extract_commands(spark, tmp_path, capsys, monkeypatch):
+    at = str(tmp_path / "o")
+    monkeypatch.setenv("WEFT_TEST_OUT", str(tmp_path))
+    spark.createDataFrame([("http://e.com/1", "T", "a b c"), ("http://e.com/2", "", "x " * 900)], "url string, title string, text string").selectExpr("*", "'p.txt' AS path").write.json(at)
+    spark.sparkContext.environment["WEFT_TEST_OUT"] = str(tmp_path)
+    assert cli.main(["upload", at, "--writer", "tests.test_surface:write_rows", "--batch", "2"]) == 0 and capsys.readouterr().out.startswith("4 rows")
+    assert cli.main(["extract", at, "--model", "tests.test_surface:model", "--auto-fields", "--flat", "--out", f"{at}-f"]) == 0
+    rows = spark.read.json(f"{at}-f").collect()
+    assert {(r["url"], r["field_url"], r["name"]) for r in rows} == {("http://e.com/1", "u", "n"), ("http://e.com/2", "u", "n")}
+
+
+def test_engines_providers_and_recipes():
+    assert fetch.client_for("urllib", agent="x") and fetch.client_for() and fetch.blocking(coroutine)("u").status == 204
+    with pytest.raises(ConfigurationError):
+        fetch.client_for("curl")
+    replies = {"openai": {"choices": [{"message": {"content": "r"}}]}, "grok": {"choices": [{"message": {"content": "r"}}]}, "anthropic": {"content": [{"type": "text", "text": "r"}]}, "gemini": {"candidates": [{"content": {"parts": [{"text": "r"}]}}]}}
+    for name, reply in replies.items():
+        asked = []
+        complete = models.completer(name, "m", "k", lambda url, headers, body: asked.append((url, headers, body)) or reply)
+        assert complete("p") == "r" and asked[0][0].startswith("https://") and "k" in "".join(asked[0][1].values()) and "p" in json.dumps(asked[0][2])
+        with pytest.raises(ExtractionError):
+            models.completer(name, "m", "k", lambda *x: {})("p")
+    with pytest.raises(ConfigurationError):
+        models.completer("none", "m")
+    assert search.alpha_for("docs-names") == 0.7 and search.alpha_for("ecom") == search.alpha_for(None) == 1.0
+
+
+async def coroutine(url):
+    return fetch.Response(204)
+
+
+def test_reader_backend(spark):
+    pages.register_reader(lambda prompt: "# Title\n\n\n\n\n" + "word " * 12 if "long" in prompt else "too short")
+    df = spark.createDataFrame([("<title>T</title><main>long</main>",), ("<main>plain</main>",)], "html string")
+    got = [r[0] for r in df.select(pages.extract(F.col("html"), backend="reader")).collect()]
+    assert got[0]["title"] == "T" and got[0]["content"].startswith("# Title\n\n\nword") and got[1]["content"] == "plain"
+
+
+def test_experiments(spark, tmp_path):
+    html = "<title>Doc</title><main>" + "".join(f"<h2>Part {i}</h2><p>{' '.join(f'word{i}x{j}' for j in range(90))}</p>" for i in range(6)) + "</main>"
+    cases = spark.createDataFrame([("f", html, "word3x1 word3x2 word3x3 part 3", "word3x5"), ("f", html, "q", "absent")], "fixture string, html string, query string, answer_span string")
+    at = str(tmp_path)
+    trials = evaluate.experiments(spark, cases, {"same": {}, "small": {"most": 10}}, at)
+    assert [t["accepted"] for t in trials] == [False, False] and trials[0]["verdicts"][0]["verdict"] == "NEUTRAL" and spark.read.text(f"{at}/history").count() == 2
+    worse = evaluate.measures(cases).selectExpr("fixture", "0.1D AS mrr", "misses", "nav_words", "total_ms", "chunks")
+    files.write_current(spark, worse, f"{at}/baseline")
+    assert evaluate.experiments(spark, cases, {"better": {}}, at)[0]["accepted"] and files.read_current(spark, f"{at}/baseline").first()["mrr"] == 0.5
+
+
 def test_rest_works_without_the_llm_folders(tmp_path):
     import shutil
 

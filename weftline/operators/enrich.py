@@ -163,6 +163,14 @@ def extract_all(pages: DataFrame, complete: Complete, fields: str | list[str] =
     return extract_fields(pages, names or discover_fields(pages, complete), complete, **options)
 
 
+def merged(extracted: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of extract_fields with a column for each name in place of the map. A name that a
+    column of the page has already gets field_ before it, so that nothing is overwritten."""
+    taken = {c.lower() for c in extracted.columns if c != "fields"}
+    columns = [F.col("fields")[n].alias(f"field_{n}" if n.lower() in taken else n) for n in dict.fromkeys(names)]
+    return extracted.select(*(c for c in extracted.columns if c != "fields"), *columns)
+
+
 def semantic_breaks(sentences: DataFrame, key: str = "doc_id", index: str = "index", vector: str = "vector", threshold: float = 0.5) -> DataFrame:
     """Sentences with run, the number of their chunk: a new one begins where the similarity to
     the sentence before is under the threshold. Windows by document alone."""

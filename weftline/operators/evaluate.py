@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import chunking, text
 from weftline.operators import enrich, pages, search
+from weftline.sources import files
 
 MRR_BAND, MOST_GROWTH = 0.005, 1.5
 
@@ -71,3 +72,33 @@ def guards(baseline: DataFrame, candidate: DataFrame, key: str = "fixture") -> D
     gain = F.round(F.col("c_mrr") - F.col("b_mrr"), 6)
     worse = (gain < -MRR_BAND) | (F.col("c_misses") > F.col("b_misses")) | (F.col("c_nav_words") > F.greatest(F.lit(2), 2 * F.col("b_nav_words"))) | ((F.col("b_total_ms") > 0) & (F.col("c_total_ms") > MOST_GROWTH * F.col("b_total_ms"))) | ((F.col("b_chunks") > 0) & (F.col("c_chunks") > MOST_GROWTH * F.col("b_chunks")))
     return j.select(key, gain.alias("mrr_gain"), F.when(worse, "REJECTED").when(gain > MRR_BAND, "ACCEPTED").otherwise("NEUTRAL").alias("verdict"))
+
+
+def measures(cases: DataFrame, embed=enrich.hashing_embedder, most: int = 128, form: str = "markdown") -> DataFrame:
+    """What guards compare, a row a fixture: mrr, misses, nav_words, total_ms (0, for tasks
+    overlap) and chunks, with one setting of chunk size and form."""
+    found = search.rank_metrics(ranks(cases, most, embed, form), by="fixture").select("fixture", "mrr", "misses")
+    page = cases.select("fixture", "html").distinct().select("fixture", pages.extract(F.col("html"), form=form)["content"].alias("content"))
+    d = diagnostics(page).groupBy("fixture").agg(F.sum("nav_words").alias("nav_words"), F.sum("n_chunks").alias("chunks"))
+    return found.join(d, "fixture").withColumn("total_ms", F.lit(0).cast("long"))
+
+
+def experiments(spark, cases: DataFrame, settings: dict[str, dict], at: str, embed=enrich.hashing_embedder) -> list[dict]:
+    """Tries settings (arguments of `measures`) one after the other against the baseline in
+    at/baseline, which the first run of an empty folder makes from the defaults. A setting is
+    accepted if some fixture's verdict is ACCEPTED and none is REJECTED, and is then the new
+    baseline. Each trial is a line of at/history; they are returned, too."""
+    base = f"{at}/baseline"
+    if files.read_current(spark, base) is None:
+        files.write_current(spark, measures(cases, embed), base)
+    trials = []
+    for name, given in settings.items():
+        found = measures(cases, embed, **given)
+        verdicts = [r.asDict() for r in guards(files.read_current(spark, base), found).orderBy("fixture").collect()]
+        kinds = {v["verdict"] for v in verdicts}
+        accepted = "ACCEPTED" in kinds and "REJECTED" not in kinds
+        if accepted:
+            files.write_current(spark, found, base)
+        trials.append({"name": name, "settings": given, "accepted": accepted, "verdicts": verdicts})
+        files.append_log(spark, trials[-1:], f"{at}/history")
+    return trials

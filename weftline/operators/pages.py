@@ -23,6 +23,20 @@ def register_extractor(name: str, extractor: Extractor) -> None:
     EXTRACTORS[name] = extractor
 
 
+READER_CHARS, READER_WORDS = 32_000, 10
+
+
+def register_reader(complete: Callable[[str], str], name: str = "reader") -> None:
+    """Adds a backend that has a language model write the Markdown of a page, of whose HTML it
+    is given as much as fits its context; fewer than ten words count as no answer."""
+
+    def read(html: str, url: str | None) -> dict | None:
+        body = dom.tidy(complete(f"Rewrite this HTML page as clean Markdown, without navigation, and say nothing else:\n\n{html[:READER_CHARS]}") or "")
+        return {"content": body} if len(body.split()) >= READER_WORDS else None
+
+    register_extractor(name, read)
+
+
 def custom(extractor: Extractor, html: str, url: str | None) -> dict:
     try:
         found = extractor(html, url)

@@ -222,6 +222,16 @@ def bm25(spark, chunks: DataFrame, query: str, key: str = "id", body: str = "tex
     return rows.where(some).crossJoin(F.broadcast(stats)).select(key, score.alias("bm25"))
 
 
+# Weight of the vectors in hybrid retrieval by kind of site; 1 is vectors alone. Words help
+# where questions name technical terms, and harm where product names are noise.
+RECIPES = {"apiref": 1.0, "blog": 1.0, "docs": 1.0, "docs-names": 0.7, "ecom": 1.0, "spa": 1.0, "wiki": 1.0}
+
+
+def alpha_for(category: str | None) -> float:
+    """The recipe's weight for a kind of site, 1 for one that isn't known."""
+    return RECIPES.get(category or "", 1.0)
+
+
 def hybrid(spark, chunks: DataFrame, query: str, vector: list[float], alpha: float = 0.7, most: int = 10, key: str = "id", body: str = "text", column: str = "embedding") -> DataFrame:
     """Blend of cosine and BM25, each spread over 0 to 1 (0 where all are equal)."""
     v = F.array(*(F.lit(float(x)) for x in vector))

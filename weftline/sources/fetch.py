@@ -6,12 +6,14 @@ runs it partition by partition; retries are the client's, a repeated task fetche
 
 from __future__ import annotations
 
+import asyncio
+import importlib.util
 import os
 import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -19,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.errors import ConfigurationError, DependencyError
 from weftline.functions import text, urls
 from weftline.streaming import throttle
 
@@ -89,6 +92,52 @@ def urllib_client(agent: str = "weftline", timeout: float = 15, proxy: str | Non
     return get
 
 
+def httpx_client(agent: str = "weftline", timeout: float = 15, proxy: str | None = None) -> Client:
+    """A client with pooled connections, and HTTP/2 where its package is there; one pool a process."""
+    pool: list = []
+
+    def get(url: str) -> Response:
+        import httpx
+
+        if not pool:
+            options = {"follow_redirects": True, "headers": {"User-Agent": agent}, "proxy": proxy, "timeout": timeout}
+            try:
+                pool.append(httpx.Client(http2=True, **options))
+            except ImportError:  # its HTTP/2 package isn't there
+                pool.append(httpx.Client(**options))
+        began = time.monotonic()
+        try:
+            r = pool[0].get(url)
+        except httpx.HTTPError as e:
+            raise OSError(str(e)) from e
+        return Response(r.status_code, r.content, dict(r.headers), (time.monotonic() - began) * 1000)
+
+    return get
+
+
+def blocking(get: Callable[[str], Awaitable[Response]]) -> Client:
+    """A coroutine function as a client: each thread of a task runs its own requests' loop."""
+
+    def run(url: str) -> Response:
+        return asyncio.run(get(url))
+
+    return run
+
+
+ENGINES = {"httpx": httpx_client, "urllib": urllib_client}
+
+
+def client_for(engine: str = "auto", **options) -> Client:
+    """A client by the name of its engine; auto takes httpx where it is installed."""
+    if engine == "auto":
+        engine = "httpx" if importlib.util.find_spec("httpx") else "urllib"
+    if engine not in ENGINES:
+        raise ConfigurationError(f"engine is auto, {' or '.join(ENGINES)}")
+    if engine == "httpx" and not importlib.util.find_spec("httpx"):
+        raise DependencyError("httpx isn't installed")
+    return ENGINES[engine](**options)
+
+
 PACE = "host string, pace_n int, pace_delay double, pace_memory int, pace_times array<double>"
 
 

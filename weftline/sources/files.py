@@ -155,3 +155,19 @@ def decoded(body: Column, declared: Column) -> Column:
     """Text of a response: bytes declared Latin-1 that are valid UTF-8 are read as UTF-8."""
     latin = F.coalesce(F.lower(declared).isin("iso-8859-1", "latin-1"), F.lit(False))
     return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).when(latin, F.decode(body, "ISO-8859-1")).otherwise(F.make_valid_utf8(body.cast("string")))
+
+
+def write_current(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """A small table as a new version; readers of the version before aren't disturbed."""
+    fs, jpath = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(jpath(path))] if fs.exists(jpath(path)) else []
+    n = 1 + max((int(x) for x in names if x.isdigit()), default=0)
+    df.coalesce(1).write.parquet(f"{path}/{n}")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest whole version of write_current, or None."""
+    fs, jpath = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(jpath(path))] if fs.exists(jpath(path)) else []
+    whole = [int(x) for x in names if x.isdigit() and fs.exists(jpath(f"{path}/{x}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(whole)}") if whole else None
