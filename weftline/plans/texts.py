@@ -68,10 +68,10 @@ def doc_prompts(spark, sf_dir):
 
 
 def extraction_diagnostics(spark, sf_dir):
-    """Per-document measures summed up by source: no chunker, so that it is expressions alone."""
-    t = F.col("text")
-    d = documents(spark, sf_dir).select("source", text.word_count(t).alias("w"), F.regexp_count(t, F.lit(r"(?m)^#{1,6}\s+")).alias("h"), F.contains(t, F.lit("\n\n")).alias("p"))
-    return d.groupBy("source").agg(F.count("*").alias("pages"), F.sum("w").alias("total_words"), F.sum("h").alias("headings"), F.count_if("p").alias("with_paragraphs"), F.round(F.avg("w"), 1).alias("avg_words"))
+    """Per-document measures summed up by source; the number of chunks is left to `evaluate`."""
+    d = evaluate.diagnostics(documents(spark, sf_dir).select("source", "text"), "text")
+    sums = (("n_words", "total_words"), ("n_headings", "headings"), ("n_fences", "fences"), ("nav_words", "nav_words"))
+    return d.groupBy("source").agg(F.count("*").alias("pages"), *(F.sum(c).alias(n) for c, n in sums), F.count_if("has_paragraphs").alias("with_paragraphs"), F.round(F.avg("n_words"), 1).alias("avg_words"))
 
 
 def keyword_search(spark, sf_dir):
@@ -295,7 +295,8 @@ ORACLE = {
     "doc_titled": f"""SELECT doc_id, sha1(CASE WHEN starts_with(ltrim(text, {WS}), '# ') THEN text ELSE '# Document ' || doc_id || chr(10) || chr(10) || text END) AS titled,
       CASE WHEN starts_with(ltrim(text, {WS}), '# ') THEN '' ELSE 'Section: ' || source || ' > ' || lang || chr(10) || chr(10) END AS breadcrumb FROM documents""",
     "doc_prompts": f"""SELECT doc_id, sha1('{HEAD_PROMPT}' || chr(10) || chr(10) || 'Address: ' || source || chr(10) || chr(10) || '=== page ===' || chr(10) || left(text, 8000)) AS prompt FROM documents""",
-    "extraction_diagnostics": f"""SELECT source, count(*) AS pages, sum({S.n_words('text')})::BIGINT AS total_words, sum(len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+')))::BIGINT AS headings, count(*) FILTER (contains(text, chr(10) || chr(10))) AS with_paragraphs, round(avg({S.n_words('text')}), 1) AS avg_words FROM documents GROUP BY source""",
+    "extraction_diagnostics": f"""SELECT source, count(*) AS pages, sum({S.n_words('text')})::BIGINT AS total_words, sum(len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+')))::BIGINT AS headings, sum(len(regexp_extract_all(text, '```')) // 2)::BIGINT AS fences,
+      sum(len(regexp_extract_all(array_to_string(({S.words('text')})[1:100], ' '), '\\[[^\\]]*\\]\\([^)]*\\)')))::BIGINT AS nav_words, count(*) FILTER (contains(text, chr(10) || chr(10))) AS with_paragraphs, round(avg({S.n_words('text')}), 1) AS avg_words FROM documents GROUP BY source""",
     "keyword_search": f"""SELECT page_id, score, {_snippet(100, 100)} AS snippet FROM (SELECT page_id, content AS text, {_hits("lower(title || ' ' || content)")} AS score FROM ({web.ARTICLES}) AS a) AS s WHERE score > 0 ORDER BY score DESC, page_id LIMIT 10""",
     "keyword_search_agent": f"SELECT doc_id, score, {_snippet(100, 200)} AS snippet FROM (SELECT doc_id, text, {_hits('lower(text)')} AS score FROM documents) AS s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10",
     "page_lookup": "SELECT page_id, url FROM pages WHERE rtrim(lower(url), '/') = (SELECT rtrim(lower(max(url)), '/') FROM pages) ORDER BY page_id LIMIT 1",
