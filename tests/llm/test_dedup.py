@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import minhash, plumbing, recipes, simhash
 from weftline.llm.textarrays import text_buffers
@@ -179,11 +180,22 @@ def test_minhash_estimates_jaccard(spark):
         a, b = shingles(rows[0][1]), shingles(rows[k][1])
         assert abs(minhash.jaccard(got[0]["signature"], got[k]["signature"], 8) - len(a & b) / len(a | b)) < 0.1
     assert len(got[0]["signature"]) == 512 and got[0]["chance"] == 2.0**-8
+    found = minhash.fingerprints(df, 512).select("doc_id", "signature")
+    both = found.where("doc_id = 0").selectExpr("signature AS a").crossJoin(found).select("doc_id", minhash.similarity(F.col("a"), F.col("signature")).alias("j"))
+    assert {r["doc_id"]: r["j"] for r in both.collect()} == {d: r["signature"] and minhash.jaccard(got[0]["signature"], r["signature"], 8) for d, r in got.items()}
     assert minhash.fingerprints(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         minhash.fingerprints(df, 100)
 
 
+def test_very_long_texts(spark):
+    long_ = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long_), (2, long_ + " more"), (3, "w1 w2 w3")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_groups(spark, df).collect())) == [(1, 1), (2, 1)]
+    got = {r["doc_id"]: r for r in minhash.fingerprints(df).collect()}
+    assert got[1]["n_shingles"] == 199_996 and minhash.jaccard(got[1]["signature"], got[2]["signature"], 8) > 0.9
+
+
 def test_densification_against_a_plain_loop():
     rng = np.random.default_rng(4)
     bins = 64

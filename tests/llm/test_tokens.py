@@ -116,3 +116,13 @@ def test_chat(spark):
             at = end
         assert r["mask"] == want and r["turn_of_token"] == owner and r["n_trained"] == sum(want)
     assert chat.formatted(df.limit(0)).count() == 0
+
+
+def test_chat_of_odd_rows(spark):
+    long_ = "long word " * 30_000
+    rows = [(1, 0, "user", "same"), (1, 0, "user", "same"), (1, 1, "assistant", long_), (None, 0, "user", "a"), (None, 1, "assistant", "b")]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    voc = bpe.encoder(bpe.VOCABULARY).voc
+    texts = sorted(bpe.decode(voc, np.array(r["tokens"])).tobytes().decode() for r in got)
+    assert texts == sorted(chat.render(t)[0] for t in ([("user", "same"), ("user", "same"), ("assistant", long_)], [("user", "a")], [("assistant", "b")]))
+    assert sorted(r["n_turns"] for r in got) == [1, 1, 3] and next(r["n_trained"] for r in got if r["n_turns"] == 3) > 60_000

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import VOCABULARY, encoder, on_worker
+from weftline.llm.plumbing import small_batches
 from weftline.llm.textarrays import text_buffers
 
 OPEN, MIDDLE, CLOSE, AFTER = "<|im_start|>", "\n", "<|im_end|>", "\n"
@@ -49,9 +50,10 @@ def formatted(conversations: DataFrame, path: str = VOCABULARY, trained: tuple[s
     Turns are in order of turn, then role, then text; a null turn comes first. Rows that
     repeat a turn are turns of their own. A null role is rendered as an empty one and never
     trained, a null text as an empty one. Marks are ordinary text to the tokenizer, so a
-    text that contains them can't forge a turn: spans come from the rendering alone. Rows
-    with a null conv_id form one conversation. Other columns are not read; an empty table
-    gives no rows.
+    text that contains them can't forge a turn: spans come from the rendering alone. A row
+    with a null conv_id is a conversation of its own, for nothing says what it belongs to. A
+    very long text is rendered and encoded whole. Other columns are not read; an empty table
+    gives no rows. A conversation is gathered in one task, which its one rendering needs.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,5 +79,7 @@ def formatted(conversations: DataFrame, path: str = VOCABULARY, trained: tuple[s
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array([len(c) for c in convs], pa.int32()), *cells, pa.array(n_trained)], ["conv_id", "n_turns", "tokens", "mask", "turn_of_token", "n_trained"])
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    small_batches(conversations.sparkSession)
+    whole = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(turns.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     return whole.mapInArrow(rows, "conv_id long, n_turns int, tokens array<int>, mask array<tinyint>, turn_of_token array<int>, n_trained long")

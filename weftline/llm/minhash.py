@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textarrays import U64, mix, pieces, shingle_hashes, word_hashes, words
@@ -69,14 +69,26 @@ def jaccard(a: bytes, b: bytes, bits: int) -> float:
     return float(max(0.0, ((unpacked(a, bits) == unpacked(b, bits)).mean() - c) / (1 - c)))
 
 
+def similarity(a: Column, b: Column, bits: int = 8) -> Column:
+    """Column of `jaccard` for two signature columns of equal width; null where either is null."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = zip(x.to_pylist(), y.to_pylist())
+        return pa.array([None if p is None or q is None else jaccard(p, q, bits) for p, q in pairs], pa.float64())
+
+    return run(a, b)
+
+
 def fingerprints(docs: DataFrame, bins: int = 128, bits: int = 8, words_per_shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, n_filled, signature, chance) of every row of docs.
 
     bins is a power of two. Words are the runs between ASCII white space, byte for byte; a
     text of fewer words than a shingle has one shingle of all of them. n_shingles counts
     occurrences. A text without words, or a null one, has n_shingles 0 and a null
-    signature. A null doc_id stays null; repeated rows have a result each; other columns
-    are not read; an empty table gives no rows.
+    signature. A very long text is hashed whole. A null doc_id stays null; repeated rows have
+    a result each; equal values in a bin are one; other columns are not read; an empty table
+    gives no rows.
     """
     if bins < 1 or bins & (bins - 1) or not 1 <= bits <= 32:
         raise ValueError("bins must be a power of two and bits between 1 and 32")
