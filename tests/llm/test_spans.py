@@ -133,6 +133,27 @@ def test_run_index_counts_patterns():
     assert len(index.heads) <= len(seq)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_statistics_against_plain_loops(seed):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice("ab" if seed % 2 else "abcdef") for _ in range(rng.randint(1, 25))) for _ in range(6)] + ["a b " * 10, "a", "a b " * 10]
+    n = len(texts)
+    block = repeats.Block(np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), pa.array([t.encode() for t in texts], pa.binary()))
+    seq, want = block.tokens.tolist(), []
+    for i in range(len(seq)):
+        best = 0
+        for j in range(len(seq)):
+            k = 0
+            while j != i and i + k < block.ends[i] and j + k < block.ends[j] and seq[i + k] == seq[j + k]:
+                k += 1
+            best = max(best, k)
+        want.append(best)
+    assert runindex.RunLengthIndex(block).statistics(block.starts).tolist() == want
+
+
 def test_factors_cover_the_text():
     import numpy as np
     import pyarrow as pa

@@ -1,13 +1,17 @@
 """Substring deduplication with a run-length compressed Burrows-Wheeler index.
 
-The texts that share repeated anchors are indexed by their BWT, kept as runs, with the
-suffix array sampled at the ends of runs. Where a suffix is not at the edge of a run, it and
-its neighbour in suffix order are preceded by the same word, so the neighbour of the suffix
-one place to the left is the neighbour's left too, and their match is one word longer. So
-the match of every suffix with its predecessor (from run starts) and its successor (from
-run ends) follows from as many sampled values as there are runs; in repetitive text that is
-few. The matching statistics, the longer of the two at each place, are streamed text by
-text, and those of `least` words or more mark duplicate spans.
+The texts that share repeated anchors are indexed by their BWT, kept as runs: for each run
+its word, where it starts, where the step to the left (LF) takes its start, and how far the
+suffixes to which its two ends step match their neighbours. Nothing else is kept; the suffix
+array is needed to make these and then dropped.
+
+Matching statistics are streamed over the runs. Every text is read from its end to its
+beginning, all texts at once: a place in the BWT steps to the place of the suffix one word
+longer, linearly within its run. Where it isn't at the edge of a run, it and its neighbour
+in suffix order are preceded by the same word, so the neighbour steps along and their match
+grows by one; at an edge the sampled match takes over. The longer of the matches with the
+suffix before and the suffix after is the longest match elsewhere; those of `least` words or
+more mark duplicate spans. In repetitive text runs, and so samples, are few.
 """
 
 from __future__ import annotations
@@ -17,55 +21,68 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.repeats import Block, repeated_spans
 
-STREAM = 1 << 16
-
 
 class RunLengthIndex:
-    """heads and run_starts: the runs of the BWT. before_at, before_lcp (and after_*): sampled
-    places in text order and the lengths of their matches with the suffix before (after)."""
+    """heads, run_starts, run_ends: the runs of the BWT. steps: LF of each run's start. before
+    (after): the match of the suffix at LF of the run's start (end) with the suffix before
+    (after) it."""
 
     def __init__(self, block: Block):
         tokens = block.tokens
         self.n = n = len(tokens)
+        self.n_texts = len(block.starts) - 1
         sa, rank = block.suffixes()
         bwt = tokens[sa - 1] if n else tokens
         change = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
         self.run_starts = np.concatenate([[0], change]) if n else np.zeros(0, np.int64)
         self.heads = bwt[self.run_starts]
-        run_ends = np.append(self.run_starts[1:], n)[: len(self.run_starts)] - 1
+        self.run_ends = np.append(self.run_starts[1:], n)[: len(self.run_starts)] - 1
         sums = block.sums()
         samples = []
-        for edge, step in ((self.run_starts, -1), (run_ends, 1)):
-            at = np.unique(np.append((sa[edge] - 1) % max(n, 1), n - 1)) if n else np.zeros(0, np.int64)
+        for edge, step in ((self.run_starts, -1), (self.run_ends, 1)):
+            at = (sa[edge] - 1) % max(n, 1)
             beside = rank[at] + step
             ok = (beside >= 0) & (beside < n)
             lcp = np.zeros(len(at), np.int64)
             lcp[ok] = block.common(sums, at[ok], sa[beside[ok]])
-            samples.append((at, lcp))
-        (self.before_at, self.before_lcp), (self.after_at, self.after_lcp) = samples
-        # For counting: for each word its runs in order, and how many of it come before each.
+            samples.append(lcp)
+        self.before, self.after = samples
+        # For LF and for counting: for each word its runs in order, and how many of it come before each.
         order = np.argsort(self.heads, kind="stable")
-        size = (run_ends - self.run_starts + 1)[order]
+        self.size = (self.run_ends - self.run_starts + 1)[order]
         self.by_head, self.by_start = self.heads[order], self.run_starts[order]
-        self.before = np.cumsum(size) - size
-        self.size = size
+        self.lesser = np.cumsum(self.size) - self.size
+        self.steps = np.empty(len(order), np.int64)
+        self.steps[order] = self.lesser
 
-    def statistics(self, lo: int, hi: int) -> np.ndarray:
-        """Longest match elsewhere of the suffixes at places lo to hi, from the samples alone."""
-        x = np.arange(lo, hi)
-        out = np.zeros(hi - lo, np.int64)
-        for at, lcp in ((self.before_at, self.before_lcp), (self.after_at, self.after_lcp)):
-            k = np.searchsorted(at, x)
-            np.maximum(out, lcp[k] + at[k] - x, out=out)
-        return out
+    def statistics(self, starts: np.ndarray) -> np.ndarray:
+        """Longest match elsewhere of the suffix at each place; starts are those of the texts,
+        with the end of the last."""
+        out = np.zeros(self.n, np.int64)
+        x, first = starts[1:] - 1, starts[:-1]
+        # The end marks are the greatest words, in the order of the texts.
+        place = self.n - self.n_texts + np.arange(self.n_texts)
+        before, after = np.zeros(self.n_texts, np.int64), np.zeros(self.n_texts, np.int64)
+        while True:
+            on = x > first
+            if not on.all():
+                x, first, place, before, after = x[on], first[on], place[on], before[on], after[on]
+            if not len(x):
+                return out
+            run = np.searchsorted(self.run_starts, place, "right") - 1
+            before = np.where(place == self.run_starts[run], self.before[run], before + 1)
+            after = np.where(place == self.run_ends[run], self.after[run], after + 1)
+            place = self.steps[run] + place - self.run_starts[run]
+            x = x - 1
+            out[x] = np.maximum(before, after)
 
     def rank(self, word: int, end: int) -> int:
         """Occurrences of word in BWT[:end], plus those of lesser words in all of it."""
         lo, hi = np.searchsorted(self.by_head, word), np.searchsorted(self.by_head, word, "right")
         k = int(np.searchsorted(self.by_start[lo:hi], end)) + lo
         if k == lo:
-            return int(self.before[lo]) if lo < len(self.before) else self.n
-        return int(self.before[k - 1] + min(self.size[k - 1], end - self.by_start[k - 1]))
+            return int(self.lesser[lo]) if lo < len(self.lesser) else self.n
+        return int(self.lesser[k - 1] + min(self.size[k - 1], end - self.by_start[k - 1]))
 
     def count(self, pattern: list[int]) -> int:
         """Occurrences of a sequence of words, by backward search."""
@@ -78,14 +95,9 @@ class RunLengthIndex:
 
 
 def long_matches(block: Block, least: int) -> tuple[np.ndarray, np.ndarray]:
-    index = RunLengthIndex(block)
-    places, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, index.n, STREAM):
-        ms = index.statistics(lo, min(index.n, lo + STREAM))
-        hit = np.flatnonzero(ms >= least)
-        places.append(hit + lo)
-        lengths.append(ms[hit])
-    return np.concatenate(places), np.concatenate(lengths)
+    found = RunLengthIndex(block).statistics(block.starts)
+    places = np.flatnonzero(found >= least)
+    return places, found[places]
 
 
 def duplicate_spans(spark: SparkSession, docs: DataFrame, least: int = 50) -> DataFrame:
