@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 HEADING = re.compile(r"(#{1,6})\s+")
 HEADINGS = re.compile(r"(?m)^#{1,6}\s+")
 GAP = re.compile(r"\n\s*\n")
-LINK = re.compile(r"\[([^\]]{1,})\][(][^)]+[)]")
+LINK = re.compile(r"\[([^\]]+)\][(][^)]+[)]")
 CLOSERS = ">}])'\""
 
 
@@ -44,7 +44,7 @@ def by_words(text: str, most: int = 400, overlap: int = 50) -> list[str]:
     while True:
         stop = min(start + most, len(words))
         end = sentence_end(words, stop, max(most // 5, 10), start + 1) if stop < len(words) else stop
-        out.append(" ".join(words[k] for k in range(start, end)))
+        out.append(" ".join(words[start:end]))
         if end >= len(words):
             return out
         start = end if end != stop else max(end - overlap, start + 1)
@@ -119,7 +119,7 @@ def lead(text: str) -> str | None:
     return next((s for s in map(str.strip, text.split("\n\n")) if s and not s.startswith(("![", "```", "#", "|", "-", "*", ">"))), None)
 
 
-def adapted(text, base=400) -> int:
+def adapted(text: str, base: int = 400) -> int:
     """Words a chunk by density: 1.25 times base for prose, less with code, headings and lists, 100 at least."""
     rows = text.splitlines()
     n, total = max(len(rows), 1), max(n_words(text), 1)
@@ -176,7 +176,7 @@ def by_markdown(text: str, most: int = 400, overlap: int = 50, title: str | None
 
 
 def split_sentences(text: str) -> list[str]:
-    cut = (s for p in paragraphs(text) for s in re.split(r"(?<=[?!.])\s{1,}(?=[A-Z])", p))
+    cut = (s for p in paragraphs(text) for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", p))
     return [s for s in map(str.strip, cut) if s]
 
 

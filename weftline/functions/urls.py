@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 UNSAFE = "[^0-9A-Za-z_.-]+"
-LANGUAGES = "zh vi uk tr th sv sr sl sk ru ro pt pl no nl nb ms lv lt ko ja it id hu hr hi he fr fi fa et es en el de da cs ca bn bg ar".split()
-PRIMARY = tuple("en en-au en-ca en-gb en-us en_gb en_us".split())
+LANGUAGES = "ar bg bn ca cs da de el en es et fa fi fr he hi hr hu id it ja ko lt lv ms nb nl no pl pt ro ru sk sl sr sv th tr uk vi zh".split()
+PRIMARY = ("en", "en-au", "en-ca", "en-gb", "en-us", "en_gb", "en_us")
 LOCALE = "^[a-z]{2}([-_][a-z]{2,4})?$"
 WIKIS = ("wiki", "wikipedia")
-SHELVES = ("shop", "products", "collections", "cat", "categories", "category")
-DOCLIKE = ("getting-started", "learn", "article", "post", "blog", "manual", "tutorial", "guide", "reference", "api", "doc", "docs")
-HTMLLIKE = ("", "htm", "html", "jsp", "asp", "aspx", "php")
+SHELVES = ("cat", "categories", "category", "collections", "products", "shop")
+DOCLIKE = ("api", "article", "blog", "doc", "docs", "getting-started", "guide", "learn", "manual", "post", "reference", "tutorial")
+HTMLLIKE = ("", "asp", "aspx", "htm", "html", "jsp", "php")
 
 
 def part(url: Column, k: int) -> Column:
