@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from weftline.operators import search
+from weftline.operators import pages, search
 
 FOUND = entry.queries()
 
@@ -78,3 +78,11 @@ def test_every_vector_is_a_query(spark, block):
     assert {r["query_id"]: r["rank"] for r in search.match_ranks(df, block).collect()} == want
     some = {r["query_id"]: r["rank"] for r in search.match_ranks(df, block, F.col("id") % 10 == 0).collect()}
     assert some == {i: r for i, r in want.items() if i % 10 == 0}
+
+
+def test_keep_first_of_ties_and_nulls(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, None, "n"), (4, None, "n"), (None, "c", "only"), (2, "b", "first")]
+    df = spark.createDataFrame(rows, "page_id long, content string, weft_note string")
+    got = sorted(map(tuple, pages.keep_first(df).collect()), key=repr)
+    assert got == sorted([(1, "a", "x"), (2, "b", "first"), (4, None, "n"), (4, None, "n"), (None, "c", "only")], key=repr) and pages.keep_first(df).columns == df.columns
+    assert pages.keep_first(df.limit(0)).count() == 0

@@ -145,14 +145,17 @@ def enough_words(content: Column, least: int = 20) -> Column:
 
 
 def keep_first(df: DataFrame, content: str = "content", order: str = "page_id") -> DataFrame:
-    """Of rows with equal content hash, that which comes first. The groups carry the order and
-    not the rows: the rows' keys are aggregated, then joined back by the order column alone.
-    Rows with a null content stay; ties of the order column keep all their rows' first hash.
+    """Of rows with equal content hash, that which comes first; of rows that share hash and
+    order value one; a null order value comes last. The groups carry the order and not the rows: the rows' keys are
+    aggregated, then joined back. Rows with a null content stay.
     """
-    first = df.where(F.col(content).isNotNull()).groupBy(text.content_hash(F.col(content)).alias("weft_hash")).agg(F.min(order).alias("weft_first"))
+    keys = df.where(F.col(content).isNotNull()).groupBy(text.content_hash(F.col(content)).alias("weft_hash"), F.col(order).alias("weft_order")).agg(F.count("*").alias("weft_n"))
+    first = keys.groupBy("weft_hash").agg(F.min(F.struct(F.col("weft_order").isNull().alias("weft_late"), "weft_order", "weft_n")).alias("weft_first"))
+    first = first.select("weft_hash", "weft_first.weft_order", "weft_first.weft_n")
     marked = df.withColumn("weft_own", text.content_hash(F.col(content)))
-    kept = marked.join(first, (marked["weft_own"] == first["weft_hash"]) & (marked[order] == first["weft_first"]), "left_semi")
-    return kept.unionByName(marked.where(F.col(content).isNull())).drop("weft_own")
+    found = marked.join(first, (marked["weft_own"] == first["weft_hash"]) & marked[order].eqNullSafe(first["weft_order"]))
+    once = found.where("weft_n = 1").unionByName(found.where("weft_n > 1").dropDuplicates(["weft_hash"])).select(*(marked[c] for c in df.columns))
+    return once.unionByName(df.where(F.col(content).isNull()))
 
 
 def new_content(df: DataFrame, seen: DataFrame, content: str = "content", hashes: str = "hash") -> DataFrame:
