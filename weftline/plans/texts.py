@@ -42,11 +42,12 @@ def doc_cleaned(spark, sf_dir):
 
 def doc_structure(spark, sf_dir):
     t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", text.first_h1(t).alias("h1"), F.sha1(text.first_paragraph(t).cast("binary")).alias("lead"), F.size(text.paragraphs(t)).cast("long").alias("paragraphs"), text.section_heading(t).alias("heading"), F.size(text.image_references(t)).cast("long").alias("images"))
+    return documents(spark, sf_dir).select("doc_id", text.first_h1(t).alias("h1"), F.sha1(text.first_paragraph(t).cast("binary")).alias("lead"), F.size(text.paragraphs(t)).cast("long").alias("paragraphs"), F.sha1(F.array_join(text.paragraphs(t), "\x1e").cast("binary")).alias("paragraph_sha1"), text.section_heading(t).alias("heading"), F.array_join(F.transform(text.image_references(t), lambda r: r["url"]), " ").alias("images"))
 
 
 def doc_sentences(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
+    own = text.sentences(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(own).cast("long").alias("sentences"), F.sha1(F.array_join(own, "\x1e").cast("binary")).alias("sentence_sha1"))
 
 
 def doc_scores(spark, sf_dir):
@@ -282,8 +283,8 @@ ORACLE = {
       sha1(regexp_replace(text, '\\[([^\\]]+)\\]\\([^\\)]+\\)', '\\1', 'g')) AS unlinked FROM documents""",
     "doc_structure": f"""SELECT doc_id, trim(substring(list_filter(list_transform(string_split(text, chr(10))[1:200], lambda x: trim(x, {WS})), lambda x: starts_with(x, '# '))[1], 3), {WS}) AS h1,
       sha1(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '' AND NOT regexp_matches(x, '^(!\\[|```|[#|>*-])'))[1]) AS lead,
-      len({PARTS})::BIGINT AS paragraphs, CASE WHEN regexp_matches(text, '^#{{1,6}}\\s') THEN trim(split_part(text, chr(10), 1), {WS}) ELSE '' END AS heading, len(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)'))::BIGINT AS images FROM documents""",
-    "doc_sentences": f"""SELECT doc_id, coalesce(list_sum(list_transform({PARTS}, lambda p: len(regexp_extract_all(regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) + 1)), 0)::BIGINT AS sentences FROM documents""",
+      len({PARTS})::BIGINT AS paragraphs, sha1(array_to_string({PARTS}, chr(30))) AS paragraph_sha1, CASE WHEN regexp_matches(text, '^#{{1,6}}\\s') THEN trim(split_part(text, chr(10), 1), {WS}) ELSE '' END AS heading, array_to_string(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 2), ' ') AS images FROM documents""",
+    "doc_sentences": f"""SELECT doc_id, len(own)::BIGINT AS sentences, sha1(array_to_string(own, chr(30))) AS sentence_sha1 FROM (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(list_transform({PARTS}, lambda p: regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g')), chr(1)), chr(1)), lambda x: trim(x, {WS})), lambda x: x <> '') AS own FROM documents) AS d""",
     "doc_scores": f"""SELECT doc_id, round(CASE WHEN n > 0 THEN n * 0.3::DOUBLE + (1 - links / n) * 0.3::DOUBLE + least(coalesce(list_sum(list_transform(own, lambda s: {S.n_words('s')})), 0) / greatest(len(own), 1) / 20, 1.0) * 0.2::DOUBLE
       + (regexp_matches(text, '(?m)^#{{1,6}}\\s+')::INT + contains(text, chr(10) || chr(10))::INT) * 0.1::DOUBLE ELSE 0.0 END, 6) AS score
       FROM (SELECT doc_id, text, {S.n_words('text')} AS n, len(regexp_extract_all(text, '\\[.*?\\]\\(.*?\\)')) AS links, {SCORE_PARTS} AS own FROM documents) AS d""",
