@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,20 @@ def test_fetched_images_and_screenshots(spark, tmp_path):
     shots = {r["url"]: r for r in fetch.screenshots(df, render, str(tmp_path / "s")).collect()}
     assert shots["http://down/"]["screenshot_error"] == "RuntimeError: no" and (tmp_path / "s" / shots["http://e.com/"]["screenshot"]).read_bytes() == b"png"
     assert fetch.needs_browser(client, "http://e.com/", lambda h: "é" in h) and not fetch.needs_browser(client, "http://down/", lambda h: True)
+
+
+def test_kept_tables(spark, tmp_path):
+    from types import SimpleNamespace as Named
+
+    from weftline.errors import ConfigurationError
+    from weftline.sources import tables
+
+    unset = Named(get=lambda key, default=None: default, set=lambda key, value: None)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ConfigurationError):
+            tables.shared_dir(Named(conf=unset, sparkContext=Named(master=master)))
+    assert tables.shared_dir(Named(conf=unset, sparkContext=Named(master="local[4]"))).startswith("file://")
+    one = tables.kept(spark, spark.range(3).toDF("x"), "one")
+    other = tables.kept(spark, one.where("x > 0"), "other")
+    tables.dropped(spark, one)
+    assert sorted(r[0] for r in other.collect()) == [1, 2] and not os.path.exists(one.weft_path.removeprefix("file://")) and os.path.exists(other.weft_path.removeprefix("file://"))
