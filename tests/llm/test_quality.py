@@ -29,7 +29,7 @@ def test_whole_text_counts():
     texts = [rng.integers(32, 127, n, dtype=np.uint8).tobytes() for n in (0, 1, 5, 255, 256, 257, 511, 512, 513, 1000, 5000)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    got = bytecnn.probabilities(m, m.tables(), data, offsets)
+    got = bytecnn.probabilities(m, bytecnn.paired(m.tables()), data, offsets)
     assert np.allclose(got, [plain(m, t) for t in texts], atol=1e-4)
 
 
