@@ -303,7 +303,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, text_column: str = "text",
 
     round_trip says that decoding the tokens gave the text's bytes again. The strings of
     special tokens are ordinary text. A null text has null tokens, n_tokens and round_trip;
-    an empty one an empty array. Other columns are not read; the kept ones pass through,
+    an empty one an empty array, a very long one a long array. Other columns are not read; the kept ones pass through,
     nulls and repeated rows included; an empty table gives no rows. `path` is a file that
     every worker can read, or the bare name of one added with SparkContext.addFile.
     """
