@@ -46,6 +46,12 @@ def custom(extractor: Extractor, html: str, url: str | None) -> dict:
     return base | found if found and found.get("content") else base
 
 
+def once(run):
+    """The function, marked so that the optimizer evaluates it once a row: a condition on its
+    result is else moved below the projection and parses each page again."""
+    return run.asNondeterministic()
+
+
 def extract(html: Column, url: Column | None = None, form: str = "markdown", keep_images: bool = False, backend: str = "default") -> Column:
     """Title, content, links, page type, description and JSON-LD of each page, from one parse.
 
@@ -61,7 +67,7 @@ def extract(html: Column, url: Column | None = None, form: str = "markdown", kee
         rows = [empty if h is None else custom(other, h, u) if other else dom.extracted(h, u, form, keep_images) for h, u in zip(pages, bases)]
         return pd.DataFrame(rows, columns=list(empty))
 
-    return run(html, F.lit(None).cast("string") if url is None else url)
+    return once(run)(html, F.lit(None).cast("string") if url is None else url)
 
 
 def main_text(html: Column, url: Column) -> Column:
@@ -72,7 +78,7 @@ def main_text(html: Column, url: Column) -> Column:
     def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, None) if h is None else dom.main_text(h, u) for h, u in zip(pages, bases)], columns=["title", "content"])
 
-    return run(html, url)
+    return once(run)(html, url)
 
 
 def links(html: Column, url: Column) -> Column:
