@@ -125,6 +125,34 @@ def test_recall_of_pairs_at_the_radius_within_long_lists(small):
     assert found >= 0.92 * 700 - 2 * (700 * 0.92 * 0.08) ** 0.5
 
 
+def test_lists_just_over_small_are_cut_in_few_steps(monkeypatch):
+    """A long list falls into thousands of lists of a few nodes; they aren't searched one by one."""
+    steps = []
+    for name in ("search", "compare"):
+        plain = getattr(simhash.ListSearch, name)
+        monkeypatch.setattr(simhash.ListSearch, name, lambda self, *a, plain=plain: (steps.append(1), plain(self, *a))[1])
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 2**63, (1500, 4), dtype=np.uint64)
+    fp[1000:] = [flipped(rng, f, 1, 30)[0] for f in fp[:500]]
+    a, b = simhash.close_in_list(np.arange(1500), fp, 52, 1024, simhash.repeats_for(52 / 256, 0.92), 1)
+    assert len(steps) < 10
+    assert set(zip(a.tolist(), b.tolist())) <= {(i + 1000, i) for i in range(500)} and len(a) >= 490
+
+
+@pytest.mark.parametrize("short", [1, 3, 256])
+def test_short_lists_are_compared_pair_by_pair(monkeypatch, short):
+    """On one strip, whichever lists count as short: the components of the pairs that share a list."""
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    fp = np.concatenate([flipped(rng, base[rng.integers(40)], 1, int(rng.integers(1, 45))) for _ in range(600)])
+    keys = simhash.strip_centres(fp, 9 * 128 + 1)
+    pairs = [(x, y) for x, y in zip(*np.nonzero(simhash.distances(fp[:, None], fp[None, :]) <= 52)) if x < y and keys[x] == keys[y]]
+    label = components(len(fp), pairs)
+    a, b = simhash.close_in_list(np.arange(len(fp)), fp, 52, 300, 1, 9)
+    assert dict(zip(a.tolist(), b.tolist())) == {i: g for i, g in enumerate(label) if g != i}
+
+
 def test_stars_give_exact_components_at_the_last_level(monkeypatch):
     monkeypatch.setattr(simhash, "DEEPEST", 0)
     rng = np.random.default_rng(5)

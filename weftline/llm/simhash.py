@@ -20,6 +20,7 @@ strip are spread over the cluster; the recursion below them runs where the list
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import ceil, comb, log
 
@@ -33,6 +34,7 @@ from weftline.llm.textarrays import U64, mix, pieces, word_hashes, words
 
 BITS, STRIP, LONGEST = 256, 15, 12
 DEEPEST = 24  # levels of strips; a list that is still long there is searched in full, star by star
+SHORT = 256  # lists below a strip that are compared together, pair by pair; longer ones one by one
 PLANES = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], U64)
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -93,17 +95,43 @@ def strip(seed: int) -> tuple[np.ndarray, int]:
     return rng.choice(BITS, STRIP, replace=False), int(rng.integers(1 << STRIP))
 
 
-def strip_centres(fp: np.ndarray, seed: int) -> np.ndarray:
-    """For each fingerprint the one centre within partial weight 1 of it on the strip."""
-    coords, shift = strip(seed)
-    x = np.full(len(fp), shift, np.int64)
-    syndrome = np.zeros(len(fp), np.int64)
-    for i, c in enumerate(coords.tolist()):
-        bit = ((fp[:, c // 64] >> U64(c % 64)) & U64(1)).astype(np.int64)
-        x ^= bit << i
+def _nearest() -> np.ndarray:
+    """The centre of each of the values that a strip can have."""
+    x = np.arange(1 << STRIP)
+    syndrome = np.zeros(len(x), np.int64)
     for i in range(STRIP):
         syndrome ^= ((x >> i) & 1) * (i + 1)
-    return np.where(syndrome > 0, x ^ (1 << np.maximum(syndrome - 1, 0)), x)
+    return np.where(syndrome > 0, x ^ (1 << np.maximum(syndrome - 1, 0)), x).astype(np.uint16)
+
+
+NEAREST = _nearest()
+
+
+@functools.lru_cache(64)
+def strips(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strips of n seeds from that one on: (256, n) weights that make a strip's value of
+    bits, exact in single precision, and the shifts."""
+    weights, shifts = np.zeros((BITS, n), np.float32), np.zeros(n, np.uint16)
+    for k in range(n):
+        coords, shifts[k] = strip(seed + k)
+        weights[coords, k] = 1 << np.arange(STRIP)
+    return weights, shifts
+
+
+def strips_centres(fp: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """(n, rows): strip_centres of n seeds from that one on."""
+    weights, shifts = strips(seed, n)
+    out = np.empty((n, len(fp)), np.uint16)
+    for lo in range(0, len(fp), 2048):
+        part = np.ascontiguousarray(fp[lo : lo + 2048], "<u8").view(np.uint8)
+        values = np.unpackbits(part, axis=1, bitorder="little").astype(np.float32) @ weights
+        out[:, lo : lo + 2048] = NEAREST[values.astype(np.uint16) ^ shifts].T
+    return out
+
+
+def strip_centres(fp: np.ndarray, seed: int) -> np.ndarray:
+    """For each fingerprint the one centre within partial weight 1 of it on the strip."""
+    return strips_centres(fp, seed, 1)[0]
 
 
 def same_list(gap: float) -> float:
@@ -124,9 +152,8 @@ def list_rows(repeats: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fp = numbers(batch.column(0)), np.stack([numbers(batch.column(i)) for i in range(1, 5)], axis=1)
-            for r in range(repeats):
-                keys = (r << STRIP) + strip_centres(fp.view(U64), r)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(ids), *(pa.array(fp[:, i]) for i in range(4))], ["list", "doc_id", "f0", "f1", "f2", "f3"])
+            for r, centres in enumerate(strips_centres(fp.view(U64), 0, repeats)):
+                yield pa.RecordBatch.from_arrays([pa.array((r << STRIP) + centres.astype(np.int32)), pa.array(ids), *(pa.array(fp[:, i]) for i in range(4))], ["list", "doc_id", "f0", "f1", "f2", "f3"])
 
     return rows
 
@@ -160,13 +187,40 @@ class ListSearch:
                 self.parent = up
 
     def compare(self, nodes: np.ndarray) -> None:
-        """All pairs of a small list."""
+        """All pairs of a small list, unless it is one component already. Half of the bits
+        settle most pairs; only the rest are looked at in full."""
+        if (self.parent[nodes] == self.parent[nodes[0]]).all():
+            return
         fp = self.fp[nodes]
-        step = max(1, (1 << 18) // len(nodes))
+        f0, f1 = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
+        step = max(1, (1 << 16) // len(nodes))
         for lo in range(0, len(nodes), step):
-            x, y = np.nonzero(distances(fp[lo : lo + step, None], fp[None, lo:]) <= self.radius)
+            hi = lo + step
+            half = np.bitwise_count(f0[lo:hi, None] ^ f0[lo:]) + np.bitwise_count(f1[lo:hi, None] ^ f1[lo:])
+            x, y = np.divmod(np.flatnonzero(half <= self.radius), len(nodes) - lo)
             ahead = y > x
-            self.unite(nodes[x[ahead] + lo], nodes[y[ahead] + lo])
+            x, y = x[ahead] + lo, y[ahead] + lo
+            close = distances(fp[x], fp[y]) <= self.radius
+            self.unite(nodes[x[close]], nodes[y[close]])
+
+    def compare_short(self, order: np.ndarray, after: np.ndarray) -> None:
+        """All pairs of many short lists, which stand one behind the other in order; after
+        tells how many nodes of its list each has behind it. Half of the bits settle most
+        pairs; those that hang together already need no further look."""
+        f0, f1 = self.fp[order, 0], self.fp[order, 1]
+        at, k = np.flatnonzero(after), 1
+        while len(at):
+            for lo in range(0, len(at), 1 << 15):
+                i = at[lo : lo + (1 << 15)]
+                half = np.bitwise_count(f0[i] ^ f0[i + k]) + np.bitwise_count(f1[i] ^ f1[i + k])
+                i = i[half <= self.radius]
+                a, b = order[i], order[i + k]
+                apart = self.parent[a] != self.parent[b]
+                a, b = a[apart], b[apart]
+                close = distances(self.fp[a], self.fp[b]) <= self.radius
+                self.unite(a[close], b[close])
+            at = at[after[at] > k]
+            k += 1
 
     def absorb(self, nodes: np.ndarray, pivot: int, gap: np.ndarray) -> np.ndarray:
         """Joins the pivot's star (what lies within the radius of it) and all links of the star
@@ -211,12 +265,24 @@ class ListSearch:
             if len(nodes) > 1:
                 self.compare(nodes)
             return
-        for r in range(self.inner):
-            keys = strip_centres(self.fp[nodes], seed * 128 + r + 1)
-            order = np.argsort(keys, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-                if len(part) > 1:
-                    self.search(nodes[part], seed * 128 + r + 1, level + 1)
+        # Most lists of a strip are of a few nodes, so the lists of several strips are cut
+        # and compared at once.
+        n, step = len(nodes), max(1, (1 << 19) // len(nodes))
+        for lo in range(0, self.inner, step):
+            first = seed * 128 + lo + 1
+            keys = strips_centres(self.fp[nodes], first, min(step, self.inner - lo))
+            order = np.argsort(keys, axis=1, kind="stable")
+            keys = np.take_along_axis(keys, order, axis=1)
+            order = nodes[order.ravel()]
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(starts, append=len(order))
+            long_ = sizes > min(SHORT, self.small)
+            after = np.repeat(np.where(long_, 0, starts + sizes - 1), sizes) - np.arange(len(order))
+            self.compare_short(order, np.maximum(after, 0))
+            for i in np.flatnonzero(long_).tolist():
+                self.search(order[starts[i] : starts[i] + sizes[i]], first + int(starts[i]) // n, level + 1)
 
 
 def close_in_list(ids: np.ndarray, fp: np.ndarray, radius: int, small: int, inner: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +303,7 @@ def close_pairs(radius: int, small: int, inner: int):
             found = []
             for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
                 s, e = cuts[i], cuts[i + 1]
-                found.append(close_in_list(ids[s:e], fp[s:e], radius, small, inner, int(keys[s]) + 1))
+                found.append(close_in_list(ids[s:e], fp[s:e], radius, small, inner, (int(keys[s]) >> STRIP) + 1))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
