@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from weftline.functions import text
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,3 +48,10 @@ def test_entry(spark):
 
 def test_sql_is_of_queries():
     assert set(SQL) <= set(FOUND)
+
+
+def test_rounding_is_as_in_sql(spark, duck):
+    values = [130.2085, 161.43449999999999, 128.6975, 64.2075, 188.67849999999999, -0.0005, 8.5]
+    want = [duck.sql(f"SELECT round({v!r}::DOUBLE, 3)").fetchall()[0][0] for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(text.rounded(df["v"], 3)).collect()] == want

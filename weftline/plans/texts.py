@@ -51,7 +51,7 @@ def doc_sentences(spark, sf_dir):
 
 
 def doc_scores(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.round(text.extraction_score(F.col("text")), 6).alias("score"))
+    return documents(spark, sf_dir).select("doc_id", text.rounded(text.extraction_score(F.col("text")), 6).alias("score"))
 
 
 def doc_adaptive(spark, sf_dir):

@@ -173,7 +173,7 @@ def overlays(spark, sf_dir):
 def extraction_ensemble(spark, sf_dir):
     """The better of the Markdown and the plain-text extraction of each page."""
     p = pages_of(spark, sf_dir).select("page_id", pages.extract(F.col("html"), F.col("url"))["content"].alias("a"), article(F.col("html")).alias("b"))
-    return pages.best_of(p, ["a", "b"]).select("page_id", "content", F.round(text.extraction_score(F.col("content")), 3).alias("score"))
+    return pages.best_of(p, ["a", "b"]).select("page_id", "content", text.rounded(text.extraction_score(F.col("content")), 3).alias("score"))
 
 
 def articles(spark, sf_dir):
