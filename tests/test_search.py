@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,24 @@ def test_page_stream_dedups_across_runs(spark, tmp_path):
         q = stream.write_stream(stream.clean_stream(stream.page_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination()
     assert {r["url"][-1] for r in spark.read.json(str(tmp_path / "out")).collect()} == {"1", "2", "4"}
+
+
+def test_pairs_are_exact_where_single_precision_is_not():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    close = base[rng.integers(0, 40, 260)] + rng.normal(size=(260, 16)) * 10.0 ** rng.integers(-8, 0, 260)[:, None]
+    vectors = np.concatenate([base, close, base[:5], np.zeros((2, 16))])  # many similarities part in the sixth place only
+    ids = [f"v{i:03d}" for i in rng.permutation(len(vectors))]
+    t = pa.table({"id": ids, "vector": [None if not v.any() and k % 2 else list(v) for k, v in enumerate(vectors)]})
+    own, place = search.Pairs(t, t), {i: k for k, i in enumerate(ids)}
+    size = np.sqrt((vectors * vectors).sum(axis=1))
+    want = [[round(float(a @ b) / (x * y), 6) if x * y else -2.0 for b, y in zip(vectors, size)] for a, x in zip(vectors, size)]
+    r, s, j = own.best()
+    assert list(r) == list(range(len(ids)))
+    match = [own.c_ids[int(k)].as_py() for k in j]
+    for k, (similarity, found) in enumerate(zip(s, match)):
+        assert (-similarity, found) == min((-want[k][m], i) for m, i in enumerate(ids) if m != k)
+    far = [ids[(k * 7 + 1) % len(ids)] for k in range(len(ids))]  # any other vector as the match
+    mine = np.array([want[k][place[i]] for k, i in enumerate(far)])
+    ahead = own.ahead(mine, np.array(far, dtype=object), 64, 50)
+    assert list(ahead) == [sum((-want[k][m], i) < (-mine[k], far[k]) for m, i in enumerate(ids) if m != k) for k in range(len(ids))]

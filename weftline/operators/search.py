@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -125,61 +126,147 @@ def first_containing(spans: DataFrame, chunks: DataFrame, span: str, chunk: str,
     return own.join(hits, (own["weft_lower"] == hits["weft_span"]) & (own["weft_own"] == hits["weft_key"]), "left").select(*(own[c] for c in spans.columns), "first_index")
 
 
-def match_ranks(df: DataFrame, block: int = 8192, chosen: Column | None = None) -> DataFrame:
+def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, their lengths, unit vectors in single precision) of a column of arrays; a null
+    vector has zeros, and one with a cell that is no number counts as without length."""
+    vectors = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = pc.list_value_length(vectors)
+    wide = pc.max(sizes).as_py() or 1
+    if vectors.null_count or pc.min(sizes).as_py() != wide:
+        m = np.array([np.zeros(wide) if v is None else v for v in vectors.to_pylist()], dtype=np.float64).reshape(len(vectors), wide)
+    else:
+        m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), wide)
+    size = np.sqrt((m * m).sum(axis=1))
+    size = np.where(np.isfinite(size), size, 0.0)
+    m[size == 0] = 0.0
+    return m, size, (m / np.where(size > 0, size, 1.0)[:, None]).astype(np.float32)
+
+
+NO_LENGTH, SELF = -2.0, -3.0  # in place of a similarity
+
+
+class Pairs:
+    """Similarities of queries to candidates in strips: in single precision, whose error is
+    less than `slack` with that of the rounding to 6 places, and exact where that leaves
+    something open. Candidates are in the order of their ids."""
+
+    def __init__(self, q: pa.Table, c: pa.Table):
+        c = c.take(pc.sort_indices(c["id"]))
+        self.ids, self.c_ids = q["id"], c["id"]
+        (self.a, self.sa, self.ua), (self.b, self.sb, self.ub) = matrix(q["vector"]), matrix(c["vector"])
+        self.slack = (self.a.shape[1] + 8) * 6e-8 + 1e-6
+        own, ids = q["id"].to_numpy(), c["id"].to_numpy()
+        self.first, self.last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        self.same = np.flatnonzero(self.last > self.first)
+        self.blank = np.flatnonzero(self.sb == 0)
+
+    def strip(self, lo: int, hi: int, at: int, to: int) -> np.ndarray:
+        """Queries lo to hi by candidates at to `to`."""
+        s = self.ua[lo:hi] @ self.ub[at:to].T
+        blank = self.blank[(self.blank >= at) & (self.blank < to)]
+        if len(blank):
+            s[:, blank - at] = NO_LENGTH
+        s[self.sa[lo:hi] == 0] = NO_LENGTH
+        for r in self.same[(self.same >= lo) & (self.same < hi)]:
+            s[r - lo, max(self.first[r] - at, 0) : max(self.last[r] - at, 0)] = SELF
+        return s
+
+    def exact(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.empty(len(r))
+        for lo in range(0, len(r), 1 << 15):
+            i, j = r[lo : lo + (1 << 15)], c[lo : lo + (1 << 15)]
+            size = self.sa[i] * self.sb[j]
+            out[lo : lo + len(i)] = np.where(size > 0, np.round((self.a[i] * self.b[j]).sum(axis=1) / np.where(size > 0, size, 1.0), 6), NO_LENGTH)
+        return out
+
+    def best(self, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, similarity, candidate) of the nearest candidate, the first of equals."""
+        wide, found = len(self.sb), []
+        high = max(1, cells // wide)
+        for lo in range(0, len(self.sa), high):
+            s = self.strip(lo, lo + high, 0, wide)
+            top = s.max(axis=1)
+            r, c = np.divmod(np.flatnonzero((s >= (top - 2 * self.slack)[:, None]) & (s > SELF)), wide)
+            r += lo
+            exact = self.exact(r, c)
+            order = np.lexsort((c, -exact, r))
+            r, first = np.unique(r[order], return_index=True)
+            found.append((r, exact[order][first], c[order][first]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def ahead(self, mine: np.ndarray, match: np.ndarray, high: int = 256, wide: int = 4096) -> np.ndarray:
+        """For each query the candidates before its match: more alike than `mine`, or as much with a lesser id."""
+        place = np.searchsorted(self.c_ids.to_numpy(), match, "left")
+        n = np.zeros(len(mine), dtype=np.int64)
+        over, under = ((mine + x).astype(np.float32)[:, None] for x in (self.slack, -self.slack))
+        for lo in range(0, len(mine), high):
+            for at in range(0, len(self.sb), wide):
+                s = self.strip(lo, lo + high, at, at + wide)
+                sure = s > over[lo : lo + high]
+                n[lo : lo + high] += [np.count_nonzero(x) for x in sure]
+                r, c = np.divmod(np.flatnonzero(sure ^ (s >= under[lo : lo + high])), s.shape[1])
+                r, c = r + lo, c + at
+                exact = self.exact(r, c)
+                n += np.bincount(r[(exact > mine[r]) | ((exact == mine[r]) & (c < place[r]))], minlength=len(n))
+        return n
+
+
+def match_ranks(df: DataFrame, block: int = 1 << 16, chosen: Column | None = None) -> DataFrame:
     """(query_id, query_label, rank) of every vector of (id, vector, label) as a query, or of
     those that `chosen` says, against all: the place of the nearest other vector with its
-    label, by cosine to 6 places, then id; null without one. Pairs of blocks of about that many vectors are multiplied as matrices twice: for the
-    nearest match, then to count what is nearer. A vector without length is behind all others."""
-    n = max(1, -(-df.count() // block))
-    own = df.select("id", "label", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    kind, cast = own.schema["id"].dataType.simpleString(), F.col("b").cast("long")
-
-    def matrix(vectors):
-        wide = max((len(v) for v in vectors if v is not None), default=1)
-        m = np.array([np.zeros(wide) if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), wide)
-        size = np.sqrt((m * m).sum(axis=1))
-        return m, size
-
-    def near(q, c):
-        """(rows of q, similarities to c, the query itself masked) in strips."""
-        (a, sa), (b, sb) = matrix(list(q["vector"])), matrix(list(c["vector"]))
-        ids = c["id"].to_numpy()
-        for lo in range(0, len(q), 512):
-            at = slice(lo, lo + 512)
-            size = np.outer(sa[at], sb)
-            s = np.where(size > 0, np.round(a[at] @ b.T / np.where(size > 0, size, 1), 6), -np.inf)
-            yield at, s, q["id"].to_numpy()[at, None] != ids[None, :]
-
-    def best(q, c):
-        c = c.sort_values("id", ignore_index=True)
-        out, label, known = [], c["label"].to_numpy(), c["label"].notna().to_numpy()
-        for at, s, others in near(q, c) if len(q) and len(c) else ():
-            fits = others & known & (q["label"].to_numpy()[at, None] == label)
-            s = np.where(fits, np.maximum(s, -2), -np.inf)
-            k = s.argmax(axis=1)
-            out += [(i, float(s[r, j]), c["id"][j]) for r, (i, j) in enumerate(zip(q["id"][at], k)) if fits[r].any()]
-        return pd.DataFrame(out, columns=["id", "s", "i"])
-
-    def before(q, c):
-        out, ids = [], c["id"].to_numpy()
-        for at, s, others in near(q, c) if len(q) and len(c) else ():
-            s, mine = np.maximum(s, -2), q["s"].to_numpy()[at, None]
-            ahead = others & ((s > mine) | ((s == mine) & (ids < q["i"].to_numpy()[at, None])))
-            out += zip(q["id"][at], ahead.sum(axis=1))
-        return pd.DataFrame(out, columns=["id", "n"])
-
-    def paired(queries, run, schema):
-        left = (queries if chosen is None else queries.where(chosen)).select("*", cast.alias("x"), other.alias("y")).groupBy("x", "y")
-        again = own.select(*(F.col(k).alias(k) for k in own.columns))  # else the two sides share their columns' ids
-        right = again.select("*", cast.alias("y"), other.alias("x")).groupBy("x", "y")
-        return left.cogroup(right).applyInPandas(run, schema)
-
-    first = paired(own, best, f"id {kind}, s double, i {kind}").groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), "i")).alias("m"))
-    asked = own.join(first.select("id", (-F.col("m.s")).alias("s"), F.col("m.i").alias("i")), "id")
-    counts = paired(asked, before, f"id {kind}, n long").groupBy("id").agg((F.sum("n") + 1).alias("rank"))
-    queries = own if chosen is None else own.where(chosen)
-    return queries.select("id", "label").join(counts, "id", "left").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "rank")
+    label, by cosine to 6 places, then id; null without one. Blocks of at most about that many
+    vectors are compared in pairs: those of a label for the nearest match, then all to count
+    what is nearer. A vector without length is behind all others."""
+    spark = df.sparkSession
+    queries = df if chosen is None else df.where(chosen)
+    total = df.count()
+    asking = total if chosen is None else queries.count()
+    pairs = 3 * spark.sparkContext.defaultParallelism  # fewer would leave cores idle
+    most = lambda n: max(1, -(-n // min(block, 2048)))
+    across = max(1, -(-asking // block), min(most(asking), math.isqrt(pairs - 1) + 1))
+    down = max(1, -(-total // block), min(most(total), -(-pairs // across)))
+    kind = df.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+    part = lambda n: F.pmod(F.xxhash64("id"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    def nearest_of_label(q: pa.Table, c: pa.Table) -> pa.Table:
+        ids, near, match = [pa.array([], arrow)], [np.empty(0)], [pa.array([], arrow)]
+        of = lambda t: t["label"].combine_chunks().dictionary_encode() if t.num_rows else None
+        mine, others = of(q), of(c)
+        if mine is not None and others is not None:
+            mine, others = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (mine, others))
+            place = pc.index_in(mine.dictionary, others.dictionary).to_numpy(zero_copy_only=False)
+            for k, at in enumerate(place):
+                if at == at:
+                    p = Pairs(q.filter(pc.equal(mine.indices, k)), c.filter(pc.equal(others.indices, int(at))))
+                    r, s, j = p.best()
+                    ids, near, match = [*ids, *p.ids.take(pa.array(r)).chunks], [*near, s], [*match, *p.c_ids.take(pa.array(j)).chunks]
+        return pa.table({"id": pa.chunked_array(ids, arrow), "s": pa.array(np.concatenate(near)), "i": pa.chunked_array(match, arrow)})
+
+    def nearer(q: pa.Table, c: pa.Table) -> pa.Table:
+        n = Pairs(q, c).ahead(q["s"].to_numpy(), q["i"].to_numpy()) if q.num_rows and c.num_rows else np.zeros(q.num_rows, dtype=np.int64)
+        return pa.table({"id": q["id"], "n": pa.array(n, pa.int64())})
+
+    def copied(table: DataFrame) -> DataFrame:
+        """Else the two sides of a join share their columns' ids."""
+        return table.select(*(F.col(c).alias(c) for c in table.columns))
+
+    # The pairs within labels: many small labels share a bucket, a large one is cut into parts.
+    within = max(1, block // 4)
+    labels = df.where("label is not null").groupBy("label").agg(F.ceil(F.count("*") / within).alias("parts"))
+    bucket = F.pmod(F.xxhash64("label"), F.lit(max(pairs, -(-total // within)))).alias("bucket")
+    named = lambda t: t.select("id", "label", "vector").join(copied(labels), "label")
+    left = named(queries).select("id", "label", "vector", bucket, part(F.col("parts")).alias("x"), every(F.col("parts")).alias("y"))
+    right = named(copied(df)).select("id", "label", "vector", bucket, part(F.col("parts")).alias("y"), every(F.col("parts")).alias("x"))
+    first = left.groupBy("bucket", "x", "y").cogroup(right.groupBy("bucket", "x", "y")).applyInArrow(nearest_of_label, f"id {kind.simpleString()}, s double, i {kind.simpleString()}")
+    first = first.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), "i")).alias("m")).select("id", (-F.col("m.s")).alias("s"), F.col("m.i").alias("i"))
+
+    asked = queries.select("id", "vector").join(first, "id").select("id", "vector", "s", "i", part(F.lit(across)).alias("x"), every(F.lit(down).cast("long")).alias("y"))
+    all_ = copied(df).select("id", "vector", part(F.lit(down)).alias("y"), every(F.lit(across).cast("long")).alias("x"))
+    counts = asked.groupBy("x", "y").cogroup(all_.groupBy("x", "y")).applyInArrow(nearer, f"id {kind.simpleString()}, n long")
+    counts = counts.groupBy("id").agg((F.sum("n") + 1).alias("rank"))
+    return copied(queries).select("id", "label").join(counts, "id", "left").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "rank")
 
 
 def rank_metrics(df: DataFrame, rank: str = "rank", by: str | None = None) -> DataFrame:
