@@ -9,20 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources.tables import dropped, kept, shared_dir
-
+from weftline.sources.tables import dropped, kept, shared_dir, small_batches
 
 __all__ = ["by_key", "columns_of", "connected_components", "dropped", "kept", "numbers", "shards", "shared_dir", "small_batches"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, where the session has the default of ten times
-    as many: whole texts are long, and a batch is held on both sides of the worker's pipe."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import dom, text, urls
+from weftline.sources.tables import small_batches
 
 EXTRACTED = "struct<title string, content string, links array<string>, page_type string, description string, json_ld array<string>>"
 SIGNALS = "struct<docs_url boolean, article_url boolean, product_url boolean, forum_url boolean, n_pre int, has_code boolean, has_article boolean, has_time boolean, has_author boolean, has_price boolean, has_replies boolean>"
@@ -48,7 +49,9 @@ def custom(extractor: Extractor, html: str, url: str | None) -> dict:
 
 def once(run):
     """The function, marked so that the optimizer evaluates it once a row: a condition on its
-    result is else moved below the projection and parses each page again."""
+    result (an explode makes one, too) is else moved below the projection and parses each page
+    again. Pages come in small batches."""
+    small_batches()
     return run.asNondeterministic()
 
 
@@ -88,7 +91,7 @@ def links(html: Column, url: Column) -> Column:
     def run(pages: pd.Series, bases: pd.Series) -> pd.Series:
         return pd.Series([None if h is None else dom.links(dom.parsed(h), u) for h, u in zip(pages, bases)], dtype=object)
 
-    return run(html, url)
+    return once(run)(html, url)
 
 
 def best_of(df: DataFrame, candidates: list[str], into: str = "content") -> DataFrame:
@@ -105,7 +108,7 @@ def page_signals(html: Column, url: Column) -> Column:
         rows = [dom.signals(dom.parsed(h or ""), u or "") for h, u in zip(pages, bases)]
         return pd.DataFrame(rows, columns=[f.split()[0] for f in SIGNALS[7:-1].split(", ")])
 
-    return run(html, url)
+    return once(run)(html, url)
 
 
 def page_type(s: Column) -> Column:
@@ -128,7 +131,7 @@ def without_overlays(html: Column) -> Column:
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(lambda h: h if h is None else dom.without_overlays(h))
 
-    return run(html)
+    return once(run)(html)
 
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
