@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.functions import text
-from weftline.sources.tables import kept
+from weftline.sources.tables import kept, small_batches
 
 
 def keyword_hits(df: DataFrame, query: str) -> DataFrame:
@@ -118,6 +118,7 @@ def first_containing(spans: DataFrame, chunks: DataFrame, span: str, chunk: str,
     given = chunks.where(F.col(chunk).isNotNull() & F.col(index).isNotNull()).select(F.lower(chunk).alias("weft_text"), key.alias("weft_key"), F.col(index).alias("first_index"))
     kind = given.schema["first_index"].dataType
     schema = f"weft_span string, weft_key string, first_index {kind.simpleString()}"
+    small_batches(chunks.sparkSession)
     found = [given.mapInArrow(contained(b, to_arrow_type(kind)), schema) for b in blocks_of_spans(asked, most)]
     if not found:
         return spans.distinct().withColumn("first_index", F.lit(None).cast(kind))

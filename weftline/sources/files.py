@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.tables import small_batches
+
 PAGE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("url", "title", "path", "crawled_at", "citation", "tool", "text")]
     + [T.StructField("images", T.ArrayType(T.StringType())), T.StructField("screenshot", T.StringType()), T.StructField("screenshot_error", T.StringType())]
@@ -129,6 +131,7 @@ def write_files(rows: DataFrame, folder: str, body: str = "rendered", name: str
                 os.replace(part, os.path.join(folder, os.path.basename(file)))
             yield b[[name]]
 
+    small_batches(rows.sparkSession)
     rows.select(name, body).mapInPandas(put, f"{name} string").write.format("noop").mode("overwrite").save()
 
 
