@@ -152,6 +152,57 @@ def test_fetched_images_and_screenshots(spark, tmp_path):
     assert fetch.needs_browser(client, "http://e.com/", lambda h: "é" in h) and not fetch.needs_browser(client, "http://down/", lambda h: True)
 
 
+def test_batches_of_texts_are_small(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import chunking
+    from weftline.operators import enrich, pages
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([("a", "u")], "text string, url string")
+    html, url = F.col("text"), F.col("url")
+    steps = [lambda: pages.extract(html, url), lambda: pages.main_text(html, url), lambda: pages.links(html, url), lambda: pages.page_signals(html, url), lambda: pages.without_overlays(html), lambda: chunking.chunks(html), lambda: enrich.embedded(html), lambda: enrich.extract_fields(df, ["a"], str), lambda: enrich.insert(df, len)]
+    was = spark.conf.get(key)
+    try:
+        for k, step in enumerate(steps):
+            spark.conf.set(key, "10000")
+            step()
+            assert spark.conf.get(key) == "1000", k
+        spark.conf.set(key, "77")
+        steps[0]()
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_links_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import pages
+
+    df = spark.range(2).selectExpr("concat('<a href=\"/', id, '\">x</a>') as html", "'http://e.com/' as url")
+    found = df.select(pages.links(F.col("html"), F.col("url")).alias("links")).select(F.explode("links").alias("dst")).where("dst <> ''")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r[0] for r in found.collect()) == ["http://e.com/0", "http://e.com/1"]
+
+
+def test_stored_pages_are_written_by_many_tasks(spark, tmp_path):
+    from weftline.plans import stores
+
+    own = spark.range(400).selectExpr("id as page_id", "concat('http://e.com/', id) as url", "concat('<title>', id, '</title>', repeat('word ', 50)) as html")
+    own.repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+        rows = stores.stored_pages(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows.inputFiles()) > 2 and rows.count() == 400
+    assert {(r["folder"], int(r["title"]) % 2) for r in rows.collect()} == {("even", 0), ("odd", 1)}
+
+
 def test_kept_tables(spark, tmp_path):
     from types import SimpleNamespace as Named
 
